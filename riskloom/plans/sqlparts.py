@@ -147,3 +147,106 @@ def with_both(body: str, extra: str = "") -> str:
 
 def with_plog(body: str, extra: str = "") -> str:
     return f"WITH {PREDICTION_LOG_CTE}{(',' + extra) if extra else ''}\n{body}"
+
+
+# ---- cleaned + featured encounter (static column decisions, checked
+#      dynamically by the drop_high_missing / drop_constant queries) ----------
+ENC_STRING_COLS = ("race", "gender", "age", "weight", "payer_code", "examide", "citoglipton",
+                   "troglitazone", "diag_1", "diag_2", "diag_3", "A1Cresult", "max_glu_serum",
+                   "metformin", "glipizide", "insulin", "change", "diabetesMed", "readmitted")
+ENC_COLS = ("encounter_id", "patient_nbr", "race", "gender", "age", "weight", "payer_code",
+            "examide", "citoglipton", "troglitazone", "admission_type_id",
+            "discharge_disposition_id", "admission_source_id", "time_in_hospital",
+            "num_lab_procedures", "num_procedures", "num_medications", "number_diagnoses",
+            "number_outpatient", "number_emergency", "number_inpatient", "diag_1", "diag_2",
+            "diag_3", "A1Cresult", "max_glu_serum", "metformin", "glipizide", "insulin",
+            "change", "diabetesMed", "readmitted")
+# After cleaning the encounter fixture: configured drops, 'weight' (>35% missing),
+# 'troglitazone' and 'payer_code' (one distinct non-NULL value once '?' is NULL).
+# encounter_id is carried as the row key.
+CLEAN_DROPPED = ("patient_nbr", "readmitted", "examide", "citoglipton", "weight", "troglitazone",
+                 "payer_code")
+CLEAN_COLS = tuple(c for c in ENC_COLS if c not in CLEAN_DROPPED)
+MEDS_PRESENT = ("metformin", "glipizide", "insulin")
+
+
+def nulled_sql(c: str) -> str:
+    return f"nullif({c}, '?') AS {c}" if c in ENC_STRING_COLS else c
+
+
+SENTINEL_CTE = ("sentinel AS (SELECT " + ", ".join(nulled_sql(c) for c in ENC_COLS)
+                + ", CASE WHEN readmitted IS NOT DISTINCT FROM '<30' THEN 1 ELSE 0 END"
+                  " AS readmitted_30d FROM encounter)")
+CLEANED_CTE = ("cleaned AS (SELECT " + ", ".join(CLEAN_COLS) + ", readmitted_30d FROM sentinel)")
+
+
+def _flag(cond: str) -> str:
+    return f"(CASE WHEN {cond} THEN 1 ELSE 0 END)"
+
+
+def feature_exprs(src_has_params: bool = True) -> list[tuple[str, str]]:
+    """(name, SQL) of every derived feature over ``cleaned`` columns; uses
+    ``prm.q75`` and ``prm.med`` when fitted parameters are joined."""
+    tpv = "(coalesce(number_outpatient, 0) + coalesce(number_emergency, 0) + coalesce(number_inpatient, 0))"
+    cx = "(coalesce(num_procedures, 0) + coalesce(number_diagnoses, 0) + coalesce(num_medications, 0))"
+    nmeds = "(" + " + ".join(_flag(f"{m} IS NOT NULL AND {m} <> 'No'") for m in MEDS_PRESENT) + ")"
+    a1c_t = _flag("A1Cresult IS DISTINCT FROM 'None'")
+    glu_t = _flag("max_glu_serum IS DISTINCT FROM 'None'")
+    agen = age_numeric_sql("age")
+    return [
+        ("age_numeric", agen),
+        ("age_risk_bucket", age_bucket_sql("age")),
+        ("gender", gender_sql("gender")),
+        ("total_prior_visits", tpv),
+        ("high_utilizer", _flag(f"{tpv} > prm.q75") if src_has_params else "0"),
+        ("has_number_outpatient", _flag("number_outpatient > 0")),
+        ("has_number_emergency", _flag("number_emergency > 0")),
+        ("has_number_inpatient", _flag("number_inpatient > 0")),
+        ("clinical_complexity", cx),
+        ("days_per_diagnosis", "time_in_hospital / (number_diagnoses + 1)"),
+        ("procedure_intensity", "num_procedures / (time_in_hospital + 1)"),
+        ("lab_intensity", "num_lab_procedures / (time_in_hospital + 1)"),
+        ("a1c_tested", a1c_t),
+        ("a1c_high", _flag("A1Cresult IN ('>7', '>8')")),
+        ("a1c_very_high", _flag("A1Cresult = '>8'")),
+        ("glucose_tested", glu_t),
+        ("glucose_high", _flag("max_glu_serum IN ('>200', '>300')")),
+        ("both_labs_done", f"({a1c_t} * {glu_t})"),
+        ("n_active_medications", nmeds),
+        ("any_insulin", _flag("insulin IN ('Up', 'Down', 'Steady')")),
+        ("insulin_increased", _flag("insulin = 'Up'")),
+        ("insulin_decreased", _flag("insulin = 'Down'")),
+        ("any_med_change", _flag("change = 'Ch'")),
+        ("on_diabetes_med", _flag("diabetesMed = 'Yes'")),
+        ("diag_1_category", icd_sql("diag_1")),
+        ("diag_2_category", icd_sql("diag_2")),
+        ("diag_3_category", icd_sql("diag_3")),
+        ("primary_diag_high_risk", _flag(f"{icd_sql('diag_1')} IN ({sql_list(C.HIGH_RISK_DIAG)})")),
+        ("age_x_ndiagnoses", f"{agen} * number_diagnoses"),
+        ("n_meds_x_ndiagnoses", f"{nmeds} * number_diagnoses"),
+        ("inpatient_x_emergency", "number_inpatient * number_emergency"),
+        ("elderly_high_complexity",
+         f"{_flag(f'{agen} >= 6')} * {_flag(f'{cx} > prm.med')}" if src_has_params else "0"),
+    ]
+
+
+FEATURE_NAMES = [n for n, _ in feature_exprs()]
+RAW_KEPT = tuple(c for c in CLEAN_COLS if c not in ("age", "gender", "diag_1", "diag_2", "diag_3"))
+PARAMS_CTE = """prm AS (
+  SELECT quantile_cont(coalesce(number_outpatient, 0) + coalesce(number_emergency, 0)
+                       + coalesce(number_inpatient, 0), 0.75) AS q75,
+         quantile_cont(coalesce(num_procedures, 0) + coalesce(number_diagnoses, 0)
+                       + coalesce(num_medications, 0), 0.5) AS med
+  FROM cleaned)"""
+FEAT_CTE = ("feat AS (SELECT " + ", ".join(RAW_KEPT) + ", readmitted_30d, "
+            + ", ".join(f"{e} AS {n}" for n, e in feature_exprs())
+            + " FROM cleaned CROSS JOIN prm)")
+
+
+def with_features(body: str, extra: str = "") -> str:
+    return with_encounter(body, f"{SENTINEL_CTE},\n{CLEANED_CTE},\n{PARAMS_CTE},\n{FEAT_CTE}"
+                          + (",\n" + extra if extra else ""))
+
+
+def with_cleaned(body: str, extra: str = "") -> str:
+    return with_encounter(body, f"{SENTINEL_CTE},\n{CLEANED_CTE}" + (",\n" + extra if extra else ""))

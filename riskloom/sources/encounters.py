@@ -17,7 +17,7 @@ from riskloom.sources.tables import read_table
 
 
 def _s(c) -> F.Column:
-    return F.col(c).cast("string")
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
