@@ -47,25 +47,31 @@ def range_bucket(df: DataFrame, order_col: str, n_ranges: int | None = None,
 
 
 def prefix_sums(df: DataFrame, order_col: str, values: dict[str, Column | str],
-                descending: bool = False, n_ranges: int | None = None) -> DataFrame:
-    """Running (inclusive) sums of ``values`` along ``order_col``.
-
-    ``order_col`` must be unique per row (aggregate to distinct keys first).
-    Output keeps all input columns and adds one column per key of ``values``.
+                descending: bool = False, n_ranges: int | None = None,
+                group_cols: list[str] | tuple = ()) -> DataFrame:
+    """Running (inclusive) sums of ``values`` along ``order_col`` within each group.
+
+    ``order_col`` must be unique per row within a group (aggregate to distinct
+    keys first).  Range edges are global, so a hot group is also spread over
+    all ranges.  Output keeps the input columns and adds one column per key of
+    ``values``.
     """
+    g = list(group_cols)
     vals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
     d = df.select("*", *[v.alias(f"_v_{k}") for k, v in vals.items()])
     d = range_bucket(d, order_col, n_ranges)
     okey = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("_rng").orderBy(okey).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*g, "_rng").orderBy(okey).rowsBetween(Window.unboundedPreceding, 0)
     local = d.select("*", *[F.sum(f"_v_{k}").over(w).alias(f"_l_{k}") for k in vals])
-    tot = d.groupBy("_rng").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in vals])
+    tot = d.groupBy(*g, "_rng").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in vals])
     rng = F.col("_rng").desc() if descending else F.col("_rng").asc()
-    wt = Window.orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_rng", *[F.coalesce(F.sum(f"_t_{k}").over(wt), F.lit(0)).alias(f"_o_{k}")
-                                for k in vals])
-    # offs has one row per range: its size is the range count, a parameter.
-    j = local.join(F.broadcast(offs), "_rng")
+    wt = (Window.partitionBy(*g) if g else Window).orderBy(rng) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*g, "_rng", *[F.coalesce(F.sum(f"_t_{k}").over(wt), F.lit(0))
+                                    .alias(f"_o_{k}") for k in vals])
+    # offs has one row per (group, range): ranges are a parameter, so without
+    # groups it is tiny and broadcast; with groups AQE sizes the join itself.
+    j = local.join(offs if g else F.broadcast(offs), [*g, "_rng"])
     return j.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in vals])
 
 
