@@ -85,7 +85,8 @@ class Cleaner:
         keep = (self.key,) if self.key else ()
         d = sentinel_to_null(df)
         d = with_binary_target(d, self.cfg.TARGET_COL, self.cfg.LABEL_COL, self.cfg.POSITIVE_CLASS)
-        d = drop_columns(d, self.cfg.DROP_COLUMNS, keep=keep)
+        d = drop_columns(d, self.cfg.DROP_COLUMNS, keep=keep).cache()
+        # two decision passes read d: cached (memory and disk) so the input is derived once.
         self.dropped_missing = high_missing_columns(d, self.cfg.HIGH_MISSING_PCT, exclude=keep)
         d = d.drop(*self.dropped_missing)
         self.dropped_constant = constant_columns(d, exclude=keep)

@@ -44,18 +44,31 @@ def allocate(counts: dict, n_take: int) -> dict:
     return out
 
 
-def _cut(df: DataFrame, key: str, pos: int):
-    """(hash, key) of the row at 0-based ``pos`` in (hash, key) order; df has columns _h, key."""
-    cnt = df.groupBy("_h").agg(F.count(F.lit(1)).alias("_cnt"))
-    ps = prefix_sums(cnt, "_h", {"_cum": F.col("_cnt")})
-    r = ps.where((F.col("_cum") - F.col("_cnt") <= pos) & (F.col("_cum") > pos)).first()
-    h, before = r["_h"], r["_cum"] - r["_cnt"]
-    if r["_cnt"] == 1:
-        k = df.where(F.col("_h") == h).first()[key]
-    else:  # hash tie: order the (few) tied rows by key
-        ks = [x[key] for x in df.where(F.col("_h") == h).select(key).orderBy(key).collect()]
-        k = ks[pos - before]
-    return h, k
+def _cuts(hk: DataFrame, key: str, label: str, wanted: dict) -> dict:
+    """(hash, key) at each wanted 0-based position per class, all classes in one pass.
+
+    ``wanted``: {class: [positions]}.  Distinct (class, hash) counts → prefix counts
+    per class (one distributed pass) → the rows covering the positions; only on a
+    hash tie are the tied rows ordered by key (a handful of rows).
+    """
+    cnt = hk.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
+    ps = prefix_sums(cnt, "_h", {"_cum": F.col("_cnt")}, group_cols=[label])
+    cond = None
+    for cls, positions in wanted.items():
+        for pos in positions:
+            c = F.col(label).eqNullSafe(F.lit(cls)) & (F.col("_cum") - F.col("_cnt") <= pos) \
+                & (F.col("_cum") > pos)
+            cond = c if cond is None else (cond | c)
+    rows = ps.where(cond).select(label, "_h", "_cnt", "_cum").collect() if cond is not None else []
+    out = {}
+    for cls, positions in wanted.items():
+        for pos in positions:
+            r = next(r for r in rows if r[label] == cls and r["_cum"] - r["_cnt"] <= pos < r["_cum"])
+            sub = hk.where(F.col(label).eqNullSafe(F.lit(cls)) & (F.col("_h") == r["_h"]))
+            ks = [x[key] for x in sub.select(key).orderBy(key).collect()] if r["_cnt"] > 1 \
+                else [sub.select(key).first()[key]]
+            out[(cls, pos)] = (r["_h"], ks[pos - (r["_cum"] - r["_cnt"])])
+    return out
 
 
 def _le(h, k, key) -> Column:
@@ -76,16 +89,18 @@ def stratified_split(df: DataFrame, key: str = "encounter_id", label: str = "lab
     rest = {c: counts[c] - test_c[c] for c in counts}
     n_val = math.ceil(val_size * sum(rest.values()))
     val_c = allocate(rest, n_val)
+    wanted = {c: ([test_c[c] - 1] if test_c[c] > 0 else [])
+              + ([test_c[c] + val_c[c] - 1] if val_c[c] > 0 else []) for c in counts}
+    cuts = _cuts(hk, key, label, wanted)
     expr = None
     for c in sorted(counts, key=lambda x: (x is None, x)):
-        sub = hk.where(F.col(label).eqNullSafe(F.lit(c)))
         is_c = F.col(label).eqNullSafe(F.lit(c))
         conds = []
         if test_c[c] > 0:
-            h, k = _cut(sub, key, test_c[c] - 1)
+            h, k = cuts[(c, test_c[c] - 1)]
             conds.append((is_c & _le(h, k, key), "test"))
         if val_c[c] > 0:
-            h, k = _cut(sub, key, test_c[c] + val_c[c] - 1)
+            h, k = cuts[(c, test_c[c] + val_c[c] - 1)]
             conds.append((is_c & _le(h, k, key), "val"))
         for cond, name in conds:
             expr = F.when(cond, name) if expr is None else expr.when(cond, name)

@@ -317,3 +317,85 @@ oracle("dataset_profile", with_cleaned(
     f"SELECT split, count(*) AS rows, {len(CLEAN_COLS) - 1} AS n_features, "
     f"round(avg({LABEL}), 6) AS positive_rate FROM cleaned JOIN splitted USING ({KEY}) GROUP BY split",
     split_sql("cleaned").strip()))
+
+
+# ---- train-fitted pipeline: encode, impute, scale, assemble -----------------------------
+from riskloom.plans.sqlparts import PIPE_CATS, PIPE_NUMS, with_pipeline  # noqa: E402
+
+
+def pipeline_result(spark, sf_dir):
+    from riskloom.operators.pipeline import run_feature_pipeline
+    return run_feature_pipeline(encounters(spark, sf_dir))
+
+
+def _pipe_sql(body, extra=""):
+    return with_pipeline(body, split_sql("cleaned"), extra)
+
+
+@query("ordinal_encode")
+def q_ordinal_encode(spark, sf_dir):
+    from riskloom.operators.encode import OrdinalEncoder
+    from riskloom.operators.features import FeatureEngineer
+    c = cleaned(spark, sf_dir)
+    s = stratified_split(c, KEY, LABEL).cache()
+    tr = s.where(F.col("split") == "train")
+    f = FeatureEngineer().fit(tr).transform(s).cache()
+    enc = OrdinalEncoder(list(PIPE_CATS)).fit(f.where(F.col("split") == "train"))
+    return enc.transform(f).select(KEY, "split", *PIPE_CATS)
+
+
+oracle("ordinal_encode", _pipe_sql(f"SELECT {KEY}, split, " + ", ".join(PIPE_CATS) + " FROM enc"))
+
+
+@query("median_impute")
+def q_median_impute(spark, sf_dir):
+    return r6(pipeline_result(spark, sf_dir).data.drop(LABEL, "split"))
+
+
+oracle("median_impute", _pipe_sql(
+    f"SELECT {KEY}, " + ", ".join(f"round({c}, 6) AS {c}" for c in PIPE_NUMS) + " FROM imp"))
+
+
+@query("run_feature_pipeline")
+def q_run_feature_pipeline(spark, sf_dir):
+    return r6(pipeline_result(spark, sf_dir).data)
+
+
+oracle("run_feature_pipeline", _pipe_sql(
+    f"SELECT {KEY}, split, {LABEL}, " + ", ".join(f"round({c}, 6) AS {c}" for c in PIPE_NUMS)
+    + " FROM imp"))
+
+_SCALE = ["time_in_hospital", "num_lab_procedures", "total_prior_visits", "clinical_complexity",
+          "lab_intensity", "n_active_medications"]
+
+
+@query("standardise")
+def q_standardise(spark, sf_dir):
+    from riskloom.operators.encode import Standardiser
+    d = pipeline_result(spark, sf_dir).data.cache()
+    tr = d.where(F.col("split") == "train")
+    model = Standardiser(_SCALE).fit(tr)
+    return r6(model.transform(tr.select(KEY, *_SCALE)))
+
+
+oracle("standardise", _pipe_sql(
+    f"SELECT {KEY}, " + ", ".join(
+        f"round((i.{c} - s.m_{c}) / CASE WHEN s.s_{c} = 0 THEN 1 ELSE s.s_{c} END, 6) AS {c}" for c in _SCALE)
+    + " FROM imp i CROSS JOIN st s WHERE i.split = 'train'",
+    "st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALE)
+    + " FROM imp WHERE split = 'train')"))
+
+
+@query("assemble_matrix")
+def q_assemble_matrix(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    res = pipeline_result(spark, sf_dir)
+    va = VectorAssembler(inputCols=sorted(res.feature_names), outputCol="features")
+    v = va.transform(res.data)
+    return v.select(KEY, LABEL, F.transform(vector_to_array("features"), lambda x: F.round(x, 6))
+                    .alias("features"))
+
+
+oracle("assemble_matrix", _pipe_sql(
+    f"SELECT {KEY}, {LABEL}, [" + ", ".join(f"round({c}, 6)" for c in sorted(PIPE_NUMS)) + "] AS features FROM imp"))

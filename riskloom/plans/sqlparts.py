@@ -250,3 +250,45 @@ def with_features(body: str, extra: str = "") -> str:
 
 def with_cleaned(body: str, extra: str = "") -> str:
     return with_encounter(body, f"{SENTINEL_CTE},\n{CLEANED_CTE}" + (",\n" + extra if extra else ""))
+
+
+# ---- train-fitted feature pipeline (split → features → encode → impute) ----------
+PIPE_CATS = ("race", "A1Cresult", "max_glu_serum", "metformin", "glipizide", "insulin", "change",
+             "diabetesMed", "age_risk_bucket", "diag_1_category", "diag_2_category",
+             "diag_3_category")
+PIPE_NUMS = tuple([c for c in RAW_KEPT if c != "encounter_id"] + FEATURE_NAMES)
+
+
+def pipeline_ctes(split_sql_text: str) -> str:
+    """CTEs ending in ``enc`` (ordinal-encoded) and ``imp`` (median-imputed)."""
+    prm_train = PARAMS_CTE.replace("FROM cleaned)", "FROM cs WHERE split = 'train')")
+    feat = ("featp AS (SELECT " + ", ".join(RAW_KEPT) + ", readmitted_30d, split, "
+            + ", ".join(f"{e} AS {n}" for n, e in feature_exprs()) + " FROM cs CROSS JOIN prm)")
+    codes = []
+    for c in PIPE_CATS:
+        codes.append(
+            f"code_{c} AS (SELECT value, dense_rank() OVER (ORDER BY value) - 1 AS code FROM "
+            f"(SELECT DISTINCT {c} AS value FROM featp WHERE split = 'train' AND {c} IS NOT NULL) d)")
+    nul = ("trnull AS (SELECT " + ", ".join(
+        f"count_if({c} IS NULL) > 0 AS {c}" for c in PIPE_CATS) + " FROM featp WHERE split = 'train')")
+    sel = []
+    for c in PIPE_NUMS:
+        if c in PIPE_CATS:
+            sel.append(f"CASE WHEN f.{c} IS NULL THEN CASE WHEN trnull.{c} THEN NULL ELSE -1.0 END "
+                       f"ELSE coalesce(cast(code_{c}.code AS DOUBLE), -1.0) END AS {c}")
+        else:
+            sel.append(f"cast(f.{c} AS DOUBLE) AS {c}")
+    joins = " ".join(f"LEFT JOIN code_{c} ON f.{c} = code_{c}.value" for c in PIPE_CATS)
+    enc = (f"enc AS (SELECT f.encounter_id, f.split, f.readmitted_30d, " + ", ".join(sel)
+           + f" FROM featp f CROSS JOIN trnull {joins})")
+    med = "med AS (SELECT " + ", ".join(f"median({c}) AS {c}" for c in PIPE_NUMS) + \
+        " FROM enc WHERE split = 'train')"
+    imp = ("imp AS (SELECT encounter_id, split, readmitted_30d, " + ", ".join(
+        f"coalesce(enc.{c}, med.{c}) AS {c}" for c in PIPE_NUMS) + " FROM enc CROSS JOIN med)")
+    return ",\n".join([split_sql_text.strip(),
+                       "cs AS (SELECT c.*, s.split FROM cleaned c JOIN splitted s USING (encounter_id))",
+                       prm_train, feat, *codes, nul, enc, med, imp])
+
+
+def with_pipeline(body: str, split_sql_text: str, extra: str = "") -> str:
+    return with_cleaned(body, pipeline_ctes(split_sql_text) + (",\n" + extra if extra else ""))
