@@ -1,3 +1,332 @@
-"""Registered queries."""
+"""Registered queries: feature ranking/consensus (2.7), models and calibration (2.8)."""
 
 from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from riskloom import config as C
+from riskloom.operators import model as MD
+from riskloom.operators import selection as SEL
+from riskloom.operators.metrics import _long, auc_table
+from riskloom.plans.oracle import oracle
+from riskloom.plans.q_features import split_sql
+from riskloom.plans.registry import query
+from riskloom.plans.sqlparts import PIPE_NUMS, with_cleaned, with_pipeline
+from riskloom.session import scratch_path
+from riskloom.sources.encounters import encounters
+
+KEY = "encounter_id"
+LABEL = C.LABEL_COL
+_PREPARED: dict = {}
+
+# Registry-sized model settings (library defaults stay the full ones).
+SMALL_GBT = dict(n_estimators=10, learning_rate=0.1, max_depth=4, subsample=0.8, colsample_bytree=0.8)
+
+
+def prepared(spark, sf_dir):
+    """The train-fitted feature matrix, written once per session under the shared
+    checkpoint folder (cuts the long lineage for the many model jobs)."""
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _PREPARED:
+        from riskloom.operators.pipeline import run_feature_pipeline
+        res = run_feature_pipeline(encounters(spark, sf_dir))
+        tag = hashlib.md5(repr(k).encode()).hexdigest()[:12]
+        path = scratch_path(spark, f"pipeline_{tag}")
+        res.data.write.mode("overwrite").partitionBy("split").parquet(path)
+        _PREPARED[k] = (path, res.feature_names)
+    path, names = _PREPARED[k]
+    return spark.read.parquet(path), names
+
+
+def _splits(spark, sf_dir):
+    d, names = prepared(spark, sf_dir)
+    return (d.where(F.col("split") == "train"), d.where(F.col("split") == "val"),
+            d.where(F.col("split") == "test"), names)
+
+
+def _pipe_sql(body, extra=""):
+    return with_pipeline(body, split_sql("cleaned"), extra)
+
+
+# ---- 2.7 ranking ---------------------------------------------------------------------------
+@query("balanced_weights")
+def q_balanced_weights(spark, sf_dir):
+    from riskloom.plans.common import cleaned
+    return SEL.balanced_weights(cleaned(spark, sf_dir), LABEL)
+
+
+oracle("balanced_weights", with_cleaned(
+    f"SELECT {LABEL}, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) "
+    f"AS weight FROM cleaned GROUP BY {LABEL}"))
+
+
+@query("class_ratio")
+def q_class_ratio(spark, sf_dir):
+    from riskloom.plans.common import cleaned
+    r = MD.class_ratio(cleaned(spark, sf_dir), LABEL)
+    return spark.createDataFrame([(round(r, 6),)], "scale_pos_weight double")
+
+
+oracle("class_ratio", with_cleaned(
+    f"SELECT round(count_if({LABEL} = 0) / count_if({LABEL} = 1), 6) AS scale_pos_weight FROM cleaned"))
+
+
+def _mi_sql(src="imp WHERE split = 'train'", bins=20):
+    parts = []
+    for c in PIPE_NUMS:
+        b = (f"CASE WHEN hi = lo THEN 0 ELSE least(floor(({c} - lo) / (hi - lo) * {float(bins)}), "
+             f"{bins - 1}) END")
+        parts.append(
+            f"SELECT '{c}' AS feature, {b} AS bin, {LABEL} AS y FROM (SELECT * FROM {src}) t "
+            f"CROSS JOIN (SELECT min({c}) AS lo, max({c}) AS hi FROM {src}) r")
+    return ("mi AS (SELECT feature, sum(nby / n * ln(nby * n / (nb * ny))) AS mi_score FROM ("
+            "SELECT feature, nby, sum(nby) OVER (PARTITION BY feature, bin) AS nb, "
+            "sum(nby) OVER (PARTITION BY feature, y) AS ny, sum(nby) OVER (PARTITION BY feature) AS n "
+            "FROM (SELECT feature, bin, y, count(*) AS nby FROM (" + " UNION ALL ".join(parts)
+            + ") l GROUP BY 1, 2, 3) j) t GROUP BY feature)")
+
+
+@query("rank_mutual_info")
+def q_rank_mi(spark, sf_dir):
+    tr, _, _, names = _splits(spark, sf_dir)
+    return SEL.mutual_info(tr, names, LABEL).select("feature", F.round("mi_score", 6).alias("mi_score"))
+
+
+oracle("rank_mutual_info", _pipe_sql("SELECT feature, round(mi_score, 6) AS mi_score FROM mi", _mi_sql()))
+
+
+def _sql_rankings():
+    src = "imp WHERE split = 'train'"
+    corr = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, coalesce(abs(corr({c}, cast({LABEL} AS DOUBLE))), 0) AS score FROM {src}"
+        for c in PIPE_NUMS)
+    smd = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, coalesce(abs(avg(CASE WHEN {LABEL} = 1 THEN {c} END) - "
+        f"avg(CASE WHEN {LABEL} = 0 THEN {c} END)) / CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) END, 0) "
+        f"AS score FROM {src}" for c in PIPE_NUMS)
+    return (_mi_sql() + ",\n"
+            f"scores AS (SELECT feature, 'mi' AS method, mi_score AS score FROM mi "
+            f"UNION ALL SELECT feature, 'abs_corr', score FROM ({corr}) a "
+            f"UNION ALL SELECT feature, 'smd', score FROM ({smd}) s),\n"
+            "ranked AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY round(score, 9) DESC, feature) - 1 "
+            "AS rank FROM scores),\n"
+            f"tops AS (SELECT feature, count(*) AS n_top FROM ranked WHERE rank < {C.TOP_K} GROUP BY feature),\n"
+            "cons AS (SELECT r.feature, max(CASE WHEN method = 'mi' THEN rank END) AS mi_rank, "
+            "max(CASE WHEN method = 'abs_corr' THEN rank END) AS abs_corr_rank, "
+            "max(CASE WHEN method = 'smd' THEN rank END) AS smd_rank, max(n_top) AS n_top "
+            "FROM ranked r JOIN tops t USING (feature) GROUP BY r.feature)")
+
+
+def _sql_consensus(spark, sf_dir):
+    tr, _, _, names = _splits(spark, sf_dir)
+    tr = tr.cache()
+    return SEL.consensus({"mi": SEL.mutual_info(tr, names, LABEL),
+                          "abs_corr": SEL.abs_correlation(tr, names, LABEL),
+                          "smd": SEL.mean_difference(tr, names, LABEL)}, C.TOP_K)
+
+
+@query("feature_consensus")
+def q_feature_consensus(spark, sf_dir):
+    return _sql_consensus(spark, sf_dir)
+
+
+oracle("feature_consensus", _pipe_sql(
+    "SELECT feature, mi_rank, abs_corr_rank, smd_rank, round((mi_rank + abs_corr_rank + smd_rank) / 3.0, 6) "
+    "AS mean_rank, n_top = 3 AS in_all_3, n_top >= 2 AS in_2plus FROM cons", _sql_rankings()))
+
+
+@query("rank_normalised")
+def q_rank_normalised(spark, sf_dir):
+    return SEL.rank_normalised(_sql_consensus(spark, sf_dir), ["mi", "abs_corr", "smd"])
+
+
+oracle("rank_normalised", _pipe_sql(
+    "SELECT feature, " + ", ".join(f"round(1 - {m}_rank / count(*) OVER (), 6) AS {m}_norm"
+                                   for m in ("mi", "abs_corr", "smd")) + " FROM cons", _sql_rankings()))
+
+
+@query("rank_join")
+def q_rank_join(spark, sf_dir):
+    """Every feature's rank in each method (full outer join of the ranking tables)."""
+    from pyspark.sql import Window
+    tr, _, _, names = _splits(spark, sf_dir)
+    tr = tr.cache()
+    tabs = {"mi": SEL.mutual_info(tr, names, LABEL), "abs_corr": SEL.abs_correlation(tr, names, LABEL),
+            "smd": SEL.mean_difference(tr, names, LABEL)}
+    out = None
+    for m, t in tabs.items():
+        sc = [c for c in t.columns if c != "feature"][0]
+        # each ranking has one row per feature: a global window over it is schema-bounded.
+        r = t.select("feature", (F.row_number().over(Window.orderBy(F.desc(F.round(sc, 9)), "feature")) - 1)
+                     .alias(f"{m}_rank"))
+        out = r if out is None else out.join(r, "feature", "full")
+    return out
+
+
+oracle("rank_join", _pipe_sql("SELECT feature, mi_rank, abs_corr_rank, smd_rank FROM "
+                              "(SELECT feature, max(CASE WHEN method = 'mi' THEN rank END) AS mi_rank, "
+                              "max(CASE WHEN method = 'abs_corr' THEN rank END) AS abs_corr_rank, "
+                              "max(CASE WHEN method = 'smd' THEN rank END) AS smd_rank FROM ranked "
+                              "GROUP BY feature) x", _sql_rankings()))
+
+
+@query("topk_set_algebra")
+def q_topk_sets(spark, sf_dir):
+    c = _sql_consensus(spark, sf_dir)
+    return c.agg(F.count_if("in_all_3").alias("in_all_3"), F.count_if("in_2plus").alias("in_2plus"),
+                 F.count(F.lit(1)).alias("union_size"))
+
+
+oracle("topk_set_algebra", _pipe_sql(
+    "SELECT count_if(n_top = 3) AS in_all_3, count_if(n_top >= 2) AS in_2plus, count(*) AS union_size "
+    "FROM cons", _sql_rankings()))
+
+
+@query("rank_lasso")
+def q_rank_lasso(spark, sf_dir):
+    tr, _, _, names = _splits(spark, sf_dir)
+    return SEL.lasso_coefficients(tr, names, LABEL, max_iter=100)
+
+
+@query("rank_forest")
+def q_rank_forest(spark, sf_dir):
+    tr, _, _, names = _splits(spark, sf_dir)
+    return SEL.forest_importance(tr, names, LABEL, n_trees=10, max_depth=5)
+
+
+@query("select_top_features")
+def q_select_top(spark, sf_dir):
+    tr, _, _, names = _splits(spark, sf_dir)
+    _, cons = SEL.select_top_features(tr.cache(), names, LABEL, rf_trees=10, rf_depth=5)
+    return cons
+
+
+# ---- 2.8 models -----------------------------------------------------------------------------
+def _fit_small(spark, sf_dir):
+    tr, va, te, names = _splits(spark, sf_dir)
+    m = MD.fit_gbt(tr, names, LABEL, SMALL_GBT)
+    return m, tr, va, te, names
+
+
+@query("fit_gbt")
+def q_fit_gbt(spark, sf_dir):
+    m, _, va, _, _ = _fit_small(spark, sf_dir)
+    return MD.score(m, va).select(KEY, LABEL, F.round("raw_score", 6).alias("raw_score"))
+
+
+@query("fit_gbt_early_stop")
+def q_fit_gbt_es(spark, sf_dir):
+    tr, va, _, names = _splits(spark, sf_dir)
+    p = dict(SMALL_GBT, n_estimators=20)
+    m = MD.fit_gbt(tr, names, LABEL, p, val=va)
+    n_trees = len(m.stages[-1].trees)
+    return MD.score(m, va).select(KEY, F.round("raw_score", 6).alias("raw_score"),
+                                  F.lit(n_trees).alias("n_trees"))
+
+
+@query("fit_logistic_baseline")
+def q_fit_logistic(spark, sf_dir):
+    from riskloom.operators.metrics import average_precision
+    tr, va, _, names = _splits(spark, sf_dir)
+    m = MD.fit_logistic(tr, names, LABEL, max_iter=50)
+    s = MD.score(m, va).select(F.col(LABEL).alias("label"), F.col("raw_score").alias("score")).cache()
+    return _long(auc_table(s), {"val_auc": F.round("auc_roc", 6)}) \
+        .unionByName(_long(average_precision(s), {"val_ap": "average_precision"}))
+
+
+@query("hyper_search")
+def q_hyper_search(spark, sf_dir):
+    tr, va, _, names = _splits(spark, sf_dir)
+    return MD.hyper_search(tr, va, names, LABEL, n_trials=3, n_estimators_cap=8, depth_cap=4)
+
+
+@query("search_convergence")
+def q_search_convergence(spark, sf_dir):
+    return MD.search_convergence(q_hyper_search(spark, sf_dir))
+
+
+@query("best_trial")
+def q_best_trial(spark, sf_dir):
+    return MD.best_trial(q_hyper_search(spark, sf_dir))
+
+
+def _calibrated(spark, sf_dir):
+    m, tr, va, te, names = _fit_small(spark, sf_dir)
+    sv = MD.score(m, va).cache()
+    iso = MD.fit_isotonic(sv, LABEL)
+    return MD.RiskModel(m, names, iso), sv, te
+
+
+@query("calibrate_isotonic")
+def q_calibrate(spark, sf_dir):
+    rm, sv, _ = _calibrated(spark, sf_dir)
+    out = rm.calibrator.transform(sv)
+    return out.select(KEY, F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"))
+
+
+@query("predict_proba")
+def q_predict_proba(spark, sf_dir):
+    rm, _, te = _calibrated(spark, sf_dir)
+    return rm.predict_proba(te).select(KEY, F.round("score", 6).alias("score"))
+
+
+@query("model_importance")
+def q_model_importance(spark, sf_dir):
+    m, *_ , names = _fit_small(spark, sf_dir)
+    rm = MD.RiskModel(m, names)
+    return spark.createDataFrame([(f, round(v, 6)) for f, v in rm.importance(20)],
+                                 "feature string, importance double")
+
+
+@query("model_save_load")
+def q_model_save_load(spark, sf_dir):
+    rm, _, te = _calibrated(spark, sf_dir)
+    path = scratch_path(spark, "model_" + hashlib.md5(sf_dir.encode()).hexdigest()[:8])
+    rm.save(path)
+    back = MD.RiskModel.load(path, rm.features)
+    a = rm.predict_proba(te).select(KEY, F.col("score").alias("a"))
+    b = back.predict_proba(te).select(KEY, F.col("score").alias("b"))
+    return a.join(b, KEY).select(KEY, F.round("a", 6).alias("score"), (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("run_training")
+def q_run_training(spark, sf_dir):
+    """Fit → calibrate on val → metrics for val and test (long table)."""
+    from riskloom.operators.metrics import headline_metrics
+    rm, _, te = _calibrated(spark, sf_dir)
+    _, va, _, _ = _splits(spark, sf_dir)
+    out = None
+    for name, part in (("val", va), ("test", te)):
+        s = rm.predict_proba(part).select(F.col(LABEL).alias("label"), "score").cache()
+        h = headline_metrics(s).withColumn("split", F.lit(name))
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+@query("before_after_calibration")
+def q_before_after(spark, sf_dir):
+    from riskloom.operators.metrics import average_precision, ece_mce
+    rm, sv, _ = _calibrated(spark, sf_dir)
+    cal = rm.calibrator.transform(sv)
+    out = None
+    for variant, col in (("raw", "raw_score"), ("calibrated", "score")):
+        s = cal.select(F.col(LABEL).alias("label"), F.col(col).alias("score")).cache()
+        rows = _long(auc_table(s), {"auc_roc": F.round("auc_roc", 6)}) \
+            .unionByName(_long(average_precision(s), {"average_precision": "average_precision"})) \
+            .unionByName(_long(ece_mce(s), {"ece": "ece"})).withColumn("variant", F.lit(variant))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("evaluate_standalone")
+def q_evaluate_standalone(spark, sf_dir):
+    """Reload a saved model and evaluate the test split."""
+    from riskloom.operators.metrics import headline_metrics
+    rm, _, te = _calibrated(spark, sf_dir)
+    path = scratch_path(spark, "eval_" + hashlib.md5(sf_dir.encode()).hexdigest()[:8])
+    rm.save(path)
+    back = MD.RiskModel.load(path, rm.features)
+    s = back.predict_proba(te).select(F.col(LABEL).alias("label"), "score")
+    return headline_metrics(s)
