@@ -23,5 +23,5 @@ def query(name: str):
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
     from riskloom.plans import q_quality, q_features, q_metrics, q_strata  # noqa: F401
-    from riskloom.plans import q_explore, q_model, q_monitor, q_io  # noqa: F401
+    from riskloom.plans import q_explore, q_model, q_explain, q_monitor, q_io  # noqa: F401
     return dict(QUERIES)
