@@ -1,3 +1,211 @@
-"""Registered queries."""
+"""Registered queries: scoring and monitoring (2.12)."""
 
 from __future__ import annotations
+
+import hashlib
+import os
+
+from pyspark.sql import functions as F
+
+from riskloom import config as C
+from riskloom.plans.oracle import oracle
+from riskloom.plans.registry import query
+from riskloom.plans.sqlparts import tier_sql, with_plog
+from riskloom.session import scratch_path
+from riskloom.sources.encounters import prediction_log
+from riskloom.streaming import monitor as MON
+
+KEY = "encounter_id"
+LABEL = C.LABEL_COL
+_LO, _MED, _HI = C.FIXED_TIERS
+
+
+def _log(spark, sf_dir):
+    return prediction_log(spark, sf_dir)
+
+
+@query("tier_rate_1m")
+def q_tier_rate(spark, sf_dir):
+    return MON.tier_rate(_log(spark, sf_dir))
+
+
+_TIER = tier_sql("risk_score", str(_LO), str(_MED), str(_HI))
+oracle("tier_rate_1m", with_plog(
+    f"SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, "
+    f"time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, {_TIER} AS tier, "
+    "count(*) AS n, round(count(*) / 60.0, 6) AS per_second FROM plog GROUP BY 1, 2, 3"))
+
+
+@query("tier_totals")
+def q_tier_totals(spark, sf_dir):
+    return MON.tier_totals(_log(spark, sf_dir))
+
+
+oracle("tier_totals", with_plog(f"SELECT {_TIER} AS tier, count(*) AS total FROM plog GROUP BY 1"))
+
+_SLIDE = ("slid AS (SELECT p.*, time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS window_start "
+          "FROM plog p CROSS JOIN range(0, 5) r(k))")
+
+
+def _hq_sql(q, bounds):
+    n = len(bounds)
+    parts = []
+    for i, b in enumerate(bounds):
+        prev = f"le_{i - 1}" if i > 0 else "0"
+        lower = repr(float(bounds[i - 1])) if i > 0 else "0.0"
+        parts.append(f"WHEN le_{i} >= {q} * le_{n} THEN {lower} + ({b!r} - {lower}) * "
+                     f"({q} * le_{n} - {prev}) / (le_{i} - {prev})")
+    return f"CASE WHEN le_{n} > 0 THEN CASE {' '.join(parts)} ELSE {float(bounds[-1])!r} END END"
+
+
+def _buckets_sql(col, bounds):
+    return ", ".join([f"count_if({col} <= {b!r}) AS le_{i}" for i, b in enumerate(bounds)]
+                     + [f"count({col}) AS le_{len(bounds)}"])
+
+
+@query("latency_p95_p99")
+def q_latency(spark, sf_dir):
+    return MON.latency_quantiles(_log(spark, sf_dir))
+
+
+oracle("latency_p95_p99", with_plog(
+    f"SELECT window_start, endpoint, round(({_hq_sql(0.95, C.LATENCY_BUCKETS)}) * 1000, 6) AS p95_ms, "
+    f"round(({_hq_sql(0.99, C.LATENCY_BUCKETS)}) * 1000, 6) AS p99_ms FROM (SELECT window_start, endpoint, "
+    f"{_buckets_sql('latency_s', C.LATENCY_BUCKETS)} FROM slid GROUP BY 1, 2) b", _SLIDE))
+
+
+@query("score_buckets")
+def q_score_buckets(spark, sf_dir):
+    return MON.score_buckets(_log(spark, sf_dir))
+
+
+_LES = list(C.SCORE_BUCKETS) + [float("inf")]
+oracle("score_buckets", with_plog(
+    "SELECT window_start, le, per_second FROM (SELECT window_start, "
+    f"{_buckets_sql('risk_score', C.SCORE_BUCKETS)} FROM slid GROUP BY 1) b, LATERAL (VALUES "
+    + ", ".join(f"({('cast(' + repr(str(le)) + ' AS DOUBLE)') if le == float('inf') else repr(float(le)) + '::DOUBLE'}, "
+                f"round(le_{i} / 300.0, 6))" for i, le in enumerate(_LES))
+    + ") v(le, per_second)", _SLIDE))
+
+
+@query("error_rate")
+def q_error_rate(spark, sf_dir):
+    return MON.error_rate(_log(spark, sf_dir))
+
+
+oracle("error_rate", with_plog(
+    "SELECT window_start, endpoint AS error_type, count(*) AS n, round(count(*) / 300.0, 6) AS per_second "
+    "FROM slid WHERE is_error GROUP BY 1, 2", _SLIDE))
+
+
+@query("batch_size_hist")
+def q_batch_size(spark, sf_dir):
+    return MON.batch_size_hist(_log(spark, sf_dir))
+
+
+_BLES = list(C.BATCH_SIZE_BUCKETS) + [float("inf")]
+oracle("batch_size_hist", with_plog(
+    "SELECT le, count FROM (SELECT " + _buckets_sql("size", C.BATCH_SIZE_BUCKETS)
+    + " FROM (SELECT batch_id, count(*) AS size FROM plog GROUP BY batch_id) s) b, LATERAL (VALUES "
+    + ", ".join(f"({('cast(' + repr(str(le)) + ' AS DOUBLE)') if le == float('inf') else repr(float(le)) + '::DOUBLE'}, le_{i})"
+                for i, le in enumerate(_BLES)) + ") v(le, count)"))
+
+_SPLIT_TS = "2024-01-16"
+_PSI_FEATURES = ["risk_score", "latency_s"]
+
+
+@query("psi_drift")
+def q_psi(spark, sf_dir):
+    """Drift of the second half of the log against the first half as baseline."""
+    log = _log(spark, sf_dir).cache()
+    base = log.where(F.col("ts") < F.lit(_SPLIT_TS).cast("timestamp"))
+    cur = log.where(F.col("ts") >= F.lit(_SPLIT_TS).cast("timestamp"))
+    return MON.psi(base, cur, _PSI_FEATURES)
+
+
+def _psi_sql():
+    from riskloom.functions.exprs import linspace
+    probs = "[" + ", ".join(repr(p) for p in linspace(0.0, 1.0, 11)[1:-1]) + "]"
+    parts = []
+    for c in _PSI_FEATURES:
+        parts.append(
+            f"SELECT '{c}' AS feature, CASE WHEN ts < TIMESTAMP '{_SPLIT_TS}' THEN 'e' ELSE 'a' END AS side, "
+            f"len(list_filter(e, lambda x: x < {c})) AS bin FROM plog CROSS JOIN "
+            f"(SELECT list_distinct(quantile_cont({c}, {probs})) AS e FROM plog WHERE ts < TIMESTAMP '{_SPLIT_TS}') q "
+            f"WHERE {c} IS NOT NULL")
+    long = " UNION ALL ".join(parts)
+    return with_plog(
+        "SELECT feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.1 "
+        "THEN 'warning' ELSE 'ok' END AS status FROM (SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM ("
+        "SELECT feature, greatest(ne / sum(ne) OVER (PARTITION BY feature), 1e-4) AS e, "
+        "greatest(na / sum(na) OVER (PARTITION BY feature), 1e-4) AS a FROM ("
+        "SELECT feature, bin, count_if(side = 'e') AS ne, count_if(side = 'a') AS na FROM (" + long
+        + ") l GROUP BY feature, bin) c) p GROUP BY feature) x")
+
+
+oracle("psi_drift", _psi_sql())
+
+
+# ---- scoring (rows-only) -----------------------------------------------------------------
+def _risk_model(spark, sf_dir):
+    from riskloom.plans.q_model import _calibrated
+    rm, sv, te = _calibrated(spark, sf_dir)
+    return rm, te
+
+
+@query("score_batch")
+def q_score_batch(spark, sf_dir):
+    """Score, tier, top factors, base rate and version for a batch of rows."""
+    from riskloom.operators import explain as X
+    from riskloom.operators.strata import assign_tier, fixed_thresholds
+    from riskloom.plans.q_model import _splits
+    rm, te = _risk_model(spark, sf_dir)
+    tr, _, _, names = _splits(spark, sf_dir)
+    batch = X.hash_rank_sample(te, KEY, 200).cache()
+    if batch.limit(1).count() == 0:
+        raise ValueError("empty batch")
+    scored = rm.predict_proba(batch)
+    gbt = rm.model.stages[-1]
+    from pyspark.ml.functions import vector_to_array
+    bg = X.hash_rank_sample(tr, KEY, 100).cache()
+    attr = X.shapley_sampling(batch, bg, KEY, names,
+                              lambda d: gbt.transform(d).withColumn("score", vector_to_array("probability")[1]),
+                              draws=2)
+    factors = X.factors_struct(X.local_explanation(attr, KEY), KEY)
+    base = X.base_rate(lambda d: rm.predict_proba(d), bg)
+    out = assign_tier(scored, fixed_thresholds(), "score", "risk_tier").join(factors, KEY, "left")
+    return out.select(F.concat(F.lit("batch_"), F.col(KEY).cast("string")).alias("patient_id"),
+                      F.round("score", 4).alias("risk_score"), "risk_tier",
+                      F.lit(round(base, 4)).alias("base_rate"), "top_factors",
+                      F.lit("1.0.0").alias("model_version"))
+
+
+@query("score_lenient")
+def q_score_lenient(spark, sf_dir):
+    """Score without validation: absent or NULL features count as 0.0."""
+    rm, te = _risk_model(spark, sf_dir)
+    filled = te.select(KEY, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in rm.features])
+    return rm.predict_proba(filled).select(KEY, F.round("score", 6).alias("score"))
+
+
+@query("score_stream")
+def q_score_stream(spark, sf_dir):
+    """Structured Streaming scoring of request files with a reject stream; returns the
+    scored output read back after the available input has been processed."""
+    from riskloom.streaming.jobs import run_scoring
+    rm, te = _risk_model(spark, sf_dir)
+    tag = hashlib.md5((spark.sparkContext.applicationId + sf_dir).encode()).hexdigest()[:10]
+    base = scratch_path(spark, f"stream_{tag}")
+    src = os.path.join(base, "requests")
+    reqs = te.select(KEY, *rm.features)
+    reqs.write.mode("overwrite").parquet(src)
+
+    def score_batch(valid):
+        cols = [F.col(n) if n in valid.columns else F.lit(0.0).alias(n) for n in rm.features]
+        v = valid.select(KEY, *[x.cast("double") for x in cols])
+        return rm.predict_proba(v.na.fill(0.0)).select(KEY, F.round("score", 6).alias("score"))
+
+    q = run_scoring(spark, src, reqs.schema, score_batch, os.path.join(base, "out"),
+                    os.path.join(base, "rejects"), name=f"scoring_{tag}")
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out"))
