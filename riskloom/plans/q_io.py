@@ -1,3 +1,112 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks (2.1) as write/read round trips."""
 
 from __future__ import annotations
+
+import hashlib
+import os
+
+from pyspark.sql import functions as F
+
+from riskloom import config as C
+from riskloom.plans.oracle import oracle
+from riskloom.plans.registry import query
+from riskloom.plans.sqlparts import ENC_COLS, nulled_sql, with_encounter, with_scored
+from riskloom.session import scratch_path
+from riskloom.sources import io as IO
+from riskloom.sources.encounters import encounters, scored
+from riskloom.sources.tables import read_table, scan_csv
+
+KEY = "encounter_id"
+
+
+def _path(spark, sf_dir, name):
+    tag = hashlib.md5((spark.sparkContext.applicationId + sf_dir).encode()).hexdigest()[:10]
+    return scratch_path(spark, f"{name}_{tag}")
+
+
+@query("scan_parquet")
+def q_scan_parquet(spark, sf_dir):
+    """Column-pruned parquet scan with a pushed-down filter."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    return o.where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+oracle("scan_parquet", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT'")
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    """Encounter → header CSV → scan with an explicit schema, '?' read as NULL."""
+    enc = encounters(spark, sf_dir)
+    path = _path(spark, sf_dir, "encounter_csv")
+    IO.sink_csv(enc, path, null_value="?")
+    return scan_csv(spark, path, schema=enc.schema, null_value="?")
+
+
+oracle("scan_csv", with_encounter("SELECT " + ", ".join(nulled_sql(c) for c in ENC_COLS) + " FROM encounter"))
+
+
+@query("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    enc = encounters(spark, sf_dir)
+    path = _path(spark, sf_dir, "sink_csv")
+    IO.sink_csv(enc, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.agg(F.count(F.lit(1)).alias("rows"))
+
+
+oracle("sink_csv", with_encounter("SELECT count(*) AS rows FROM encounter"))
+
+
+@query("sink_parquet")
+def q_sink_parquet(spark, sf_dir):
+    """Split-partitioned write; reading one split prunes the other directories."""
+    from riskloom.plans.q_model import prepared
+    d, _ = prepared(spark, sf_dir)
+    path = _path(spark, sf_dir, "sink_parquet")
+    IO.sink_parquet(d, path, partition_by=("split",))
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _split_counts_sql():
+    from riskloom.plans.q_features import split_sql
+    from riskloom.plans.sqlparts import with_cleaned
+    return with_cleaned("SELECT split, count(*) AS rows FROM splitted GROUP BY split",
+                        split_sql("cleaned").strip())
+
+
+oracle("sink_parquet", _split_counts_sql())
+
+
+@query("sink_json_metrics")
+def q_sink_json_metrics(spark, sf_dir):
+    from riskloom.operators.metrics import headline_metrics
+    m = headline_metrics(scored(spark, sf_dir, with_groups=False).cache())
+    path = _path(spark, sf_dir, "metrics_json")
+    IO.sink_json_metrics(m, path)
+    return IO.read_json_metrics(spark, path)
+
+
+def _metrics_sql():
+    from riskloom.plans.q_metrics import _REPORT_CTES, _REPORT_SQL
+    return with_scored(f"SELECT metric, round(value, 6) AS value FROM ({_REPORT_SQL}) r", _REPORT_CTES)
+
+
+oracle("sink_json_metrics", _metrics_sql())
+
+
+@query("params_io")
+def q_params_io(spark, sf_dir):
+    """Persist fitted parameters (tier thresholds, medians, selected features) and reload."""
+    from riskloom.operators import strata as S
+    from riskloom.plans.q_model import prepared
+    from riskloom.operators.pipeline import run_feature_pipeline
+    sc = scored(spark, sf_dir, with_groups=False).cache()
+    thr = S.tier_thresholds(sc)
+    _, names = prepared(spark, sf_dir)
+    med = run_feature_pipeline(encounters(spark, sf_dir)).medians
+    path = _path(spark, sf_dir, "params")
+    IO.save_params(spark, path, {"tier_thresholds": thr, "medians": med, "selected_features": names,
+                                 "flag_percentile": C.FLAG_PERCENTILE})
+    return IO.load_params(spark, path)
