@@ -67,3 +67,18 @@ FROM (SELECT *, coalesce(lag(rate) OVER (ORDER BY tier_no) <= rate, true) AS ok
                    avg(score) AS mean_score FROM t GROUP BY tier) g) x"""
 
 oracle("tier_qa", with_scored(_TIER_QA_BODY, _THR + ",\n" + _TIERED))
+
+
+@query("tier_reindex")
+def q_tier_reindex(spark, sf_dir):
+    """Counts per tier under the fixed thresholds, imposed on the ordered tier
+    dimension (a tier with no rows still appears, with NULL counts)."""
+    sc = scored(spark, sf_dir, with_groups=False)
+    return S.tier_summary(sc, S.fixed_thresholds())
+
+
+_FIXED_TIERED = "t AS (SELECT s.*, " + tier_sql("s.score", "0.25", "0.5", "0.75") + " AS tier FROM scored s)"
+oracle("tier_reindex", with_scored(f"""
+SELECT d.tier, d.tier_no, g.cnt AS count, round(g.mean, 6) AS mean
+FROM (SELECT tier, {tier_no_sql('tier')} AS tier_no FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) v(tier)) d
+LEFT JOIN (SELECT tier, count(*) AS cnt, avg(label) AS mean FROM t GROUP BY tier) g USING (tier)""", _FIXED_TIERED))

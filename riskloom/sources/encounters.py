@@ -121,20 +121,25 @@ def scored(spark: SparkSession, sf_dir: str, with_groups: bool = True) -> DataFr
                     (ok * 7919) % 700 + 100 * F.coalesce("n_inp", F.lit(0)))
     cols = [ok.alias("encounter_id"), label.alias("label"), milli.alias("score_milli"),
             (milli / F.lit(1000.0)).alias("score")]
-    if with_groups:
-        age_lo = (ck * 7 % 10) * 10
-        age = F.concat(F.lit("["), age_lo.cast("string"), F.lit("-"),
-                       (age_lo + 10).cast("string"), F.lit(")"))
-        gender = F.when(ck % 101 == 0, "Unknown/Invalid").when(ck % 2 == 0, "Male") \
-            .otherwise("Female")
-        p1 = F.col("p1")
-        diag1 = F.when(p1 % 17 == 0, F.concat(F.lit("V"), _s(p1 % 90))) \
-            .when(p1 % 19 == 0, F.concat(F.lit("E"), _s(p1 % 999))) \
-            .when(p1 % 23 == 0, "?").otherwise(_s(p1 % 1000))
-        cols += [X.age_risk_bucket(age).alias("age_risk_bucket"),
-                 X.gender_code(gender).alias("gender"),
-                 X.icd_category(X.sentinel_null(diag1)).alias("diag_1_category")]
-    return b.select(*cols)
+    if not with_groups:
+        return b.select(*cols)
+    age_lo = (ck * 7 % 10) * 10
+    age = F.concat(F.lit("["), age_lo.cast("string"), F.lit("-"),
+                   (age_lo + 10).cast("string"), F.lit(")"))
+    gender = F.when(ck % 101 == 0, "Unknown/Invalid").when(ck % 2 == 0, "Male") \
+        .otherwise("Female")
+    p1 = F.col("p1")
+    diag1 = F.when(p1 % 17 == 0, F.concat(F.lit("V"), _s(p1 % 90))) \
+        .when(p1 % 19 == 0, F.concat(F.lit("E"), _s(p1 % 999))) \
+        .when(p1 % 23 == 0, "?").otherwise(_s(p1 % 1000))
+    # raw strings first, categories in a second projection: each raw expression is
+    # then evaluated once instead of being inlined into every branch that reads it.
+    raw = b.select(*cols, age.alias("_age"), gender.alias("_gender"),
+                   X.sentinel_null(diag1).alias("_diag1"))
+    return raw.select("encounter_id", "label", "score_milli", "score",
+                      X.age_risk_bucket("_age").alias("age_risk_bucket"),
+                      X.gender_code("_gender").alias("gender"),
+                      X.icd_category("_diag1").alias("diag_1_category"))
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
