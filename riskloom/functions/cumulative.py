@@ -126,3 +126,61 @@ def exact_quantiles(df: DataFrame, c: str, probs: list[float],
                     n_ranges: int | None = None) -> list[float | None]:
     """numpy-default percentiles (linear) of a column, NULLs ignored."""
     return exact_quantiles_from_counts(value_counts_table(df, c), c, probs, n_ranges=n_ranges)
+
+
+def grouped_exact_quantiles(df: DataFrame, value_col: str, group_cols, probs: list[float],
+                            n_ranges: int | None = None) -> dict:
+    """Linear-interpolated quantiles of ``value_col`` per group, fully distributed.
+
+    (group, value) counts → per-group sizes (one row per group) → grouped prefix
+    counts → the rows covering each needed order statistic, found by an equi-join
+    on the group with the (group, position) targets (a table of groups × 2·|probs|
+    rows) and a range filter.  Returns {group tuple: [quantile per prob]}.
+    """
+    g = list(group_cols)
+    counts = df.where(F.col(value_col).isNotNull()) \
+        .groupBy(*g, F.col(value_col).cast("double").alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_cnt")).cache()
+    try:
+        sizes = {tuple(r[c] for c in g): r["_n"]
+                 for r in counts.groupBy(*g).agg(F.sum("_cnt").alias("_n")).collect()}
+        need, targets = {}, []
+        for grp, n in sizes.items():
+            for p in probs:
+                h = (n - 1) * p
+                lo, hi = math.floor(h), math.ceil(h)
+                need[(grp, p)] = (h, lo, hi)
+                targets += [(*grp, lo), (*grp, hi)]
+        if not targets:
+            return {}
+        spark = df.sparkSession
+        schema = counts.select(*g).schema.add("_k", "long")
+        tdf = spark.createDataFrame(sorted(set(targets), key=repr), schema)
+        ps = prefix_sums(counts, "_v", {"_cum": F.col("_cnt")}, n_ranges=n_ranges, group_cols=g)
+        if not g:   # one group: the positions become a literal filter instead of a join
+            ks = sorted({k for (_, k) in [((), t[-1]) for t in targets]})
+            cond = None
+            for k in ks:
+                c = (F.col("_cum") - F.col("_cnt") <= k) & (F.col("_cum") > k)
+                cond = c if cond is None else (cond | c)
+            hit = ps.where(cond).select("*", *[F.lit(None).cast("long").alias("_k")])
+            rows_any = hit.select("_v", "_cnt", "_cum").collect()
+            rows = []
+            for r in rows_any:
+                for k in ks:
+                    if r["_cum"] - r["_cnt"] <= k < r["_cum"]:
+                        rows.append({"_k": k, "_v": r["_v"]})
+            at = {((), r["_k"]): r["_v"] for r in rows}
+            return {(): [lerp(at[((), need[((), p)][1])], at[((), need[((), p)][2])],
+                              need[((), p)][0] - need[((), p)][1]) for p in probs]}
+        hit = ps.join(F.broadcast(tdf), g)
+        rows = hit.where((F.col("_cum") - F.col("_cnt") <= F.col("_k")) & (F.col("_cum") > F.col("_k"))) \
+            .select(*g, "_k", "_v").collect()
+    finally:
+        counts.unpersist()
+    at = {(tuple(r[c] for c in g), r["_k"]): r["_v"] for r in rows}
+    out = {}
+    for grp in sizes:
+        out[grp] = [lerp(at[(grp, need[(grp, p)][1])], at[(grp, need[(grp, p)][2])],
+                         need[(grp, p)][0] - need[(grp, p)][1]) for p in probs]
+    return out

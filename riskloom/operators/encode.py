@@ -100,7 +100,7 @@ class MedianModel:
 
 
 class MedianImputer:
-    """Exact (linear-interpolated) medians of every numeric column, one aggregation."""
+    """Exact (linear-interpolated) medians of every numeric column."""
 
     def __init__(self, cols: list[str] | None = None, exclude=()):
         self.cols = cols
@@ -110,8 +110,14 @@ class MedianImputer:
         cols = self.cols if self.cols is not None else numeric_columns(train, self.exclude)
         if not cols:
             return MedianModel({})
-        r = train.agg(*[F.median(c).alias(c) for c in cols]).first()
-        return MedianModel({c: r[c] for c in cols})
+        # exact medians without one buffer per column: unpivot to (column, value),
+        # then grouped distributed order statistics.
+        from riskloom.functions.cumulative import grouped_exact_quantiles
+        long = train.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+            for c in cols])).alias("x")).select("x.*")
+        q = grouped_exact_quantiles(long, "value", ["column"], [0.5])
+        return MedianModel({c: (q[(c,)][0] if (c,) in q else None) for c in cols})
 
 
 @dataclass

@@ -31,21 +31,34 @@ def rate_by_category(df: DataFrame, cols, label: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Counts and proportions per value (the total is a collected scalar)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(1)))   # over distinct values only
+    total = df.count()
     return g.select(F.col(col).alias("value"), "count",
-                    F.round(F.col("count") / total, 6).alias("proportion"))
+                    F.round(F.col("count") / F.lit(total), 6).alias("proportion"))
+
+
+def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_of: str,
+                    buckets: int = 64) -> DataFrame:
+    """Exact top-k rows per group without one task per group: rank within
+    (group, hash bucket of ``salt_of``) first, keep k per bucket, then rank the
+    ≤ k·buckets candidates per group.  Adds ``rank`` (1-based)."""
+    g = list(group_cols)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_of)), F.lit(buckets)))
+    w1 = Window.partitionBy(*g, "_salt").orderBy(*order_cols)
+    cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
+    w2 = Window.partitionBy(*g).orderBy(*order_cols)
+    return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
 
 
 def cardinality_top(df: DataFrame, cols, k: int = 3) -> DataFrame:
     """Distinct count and the k most frequent values (ties by value) per column."""
     long = unpivot(df, cols)
     vc = long.where(F.col("value").isNotNull()).groupBy("column", "value") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    top = vc.select("column", "value", "n", F.row_number().over(w).alias("rank"),
-                    F.count(F.lit(1)).over(Window.partitionBy("column")).alias("n_unique"))
-    return top.where(F.col("rank") <= k)
+        .agg(F.count(F.lit(1)).alias("n")).cache()
+    top = top_k_per_group(vc, ["column"], [F.desc("n"), F.asc("value")], k, salt_of="value")
+    uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    return top.join(uniq, "column").select("column", "value", "n", "rank", "n_unique")
 
 
 def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
@@ -88,19 +101,26 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 def box_stats(df: DataFrame, cols, by: str) -> DataFrame:
-    """Quartiles, min/max and 1.5·IQR whiskers per column and class."""
+    """Quartiles, min/max and 1.5·IQR whiskers per column and class.
+
+    Quartiles are exact grouped order statistics (distributed); the whiskers
+    then need one aggregation with the quartiles as per-group literals.
+    """
+    from riskloom.functions.cumulative import grouped_exact_quantiles
     long = unpivot(df, cols, keep=(by,), value_type="double").where(F.col("value").isNotNull())
-    q = long.groupBy("column", by).agg(
-        F.percentile("value", [0.25, 0.5, 0.75]).alias("q"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = q.select("column", by, "min", "max", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    j = long.join(q, ["column", by])
-    lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    w = j.groupBy("column", by, "min", "q1", "median", "q3", "max").agg(
-        F.min(F.when(F.col("value") >= lo_f, F.col("value"))).alias("whisker_lo"),
-        F.max(F.when(F.col("value") <= hi_f, F.col("value"))).alias("whisker_hi"))
+    q = grouped_exact_quantiles(long, "value", ["column", by], [0.25, 0.5, 0.75])
+    keyc = F.concat_ws("|", F.col("column"), F.col(by).cast("string"))
+
+    def lut(i):
+        return F.create_map(*[x for (c, b), v in q.items() for x in (F.lit(f"{c}|{b}"), F.lit(v[i]))])
+    q1, med, q3 = lut(0)[keyc], lut(1)[keyc], lut(2)[keyc]
+    iqr = q3 - q1
+    v = F.col("value")
+    w = long.groupBy("column", by).agg(
+        F.min(v).alias("min"), F.first(q1).alias("q1"), F.first(med).alias("median"),
+        F.first(q3).alias("q3"), F.max(v).alias("max"),
+        F.min(F.when(v >= q1 - 1.5 * iqr, v)).alias("whisker_lo"),
+        F.max(F.when(v <= q3 + 1.5 * iqr, v)).alias("whisker_hi"))
     return w.select("column", by, *[F.round(c, 6).alias(c) for c in
                                     ("min", "q1", "median", "q3", "max", "whisker_lo", "whisker_hi")])
 
