@@ -9,6 +9,7 @@ checkpoint folder so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,11 @@ def prediction_log_stream(spark: SparkSession, path: str, schema: str = EVENTS_S
         (F.col("value") / F.lit(200.0)).alias("latency_s"), F.col("user_id").alias("batch_id"))
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", name)
+def _ckpt(spark: SparkSession, name: str, src: str = "") -> str:
+    """Per-query checkpoint folder; keyed by the source path too, so a query name
+    reused for a different source never resumes someone else's offsets."""
+    tag = hashlib.md5(src.encode()).hexdigest()[:10]
+    return os.path.join(checkpoint_dir(spark), "streams", f"{name}_{tag}")
 
 
 def run_tier_rate(spark: SparkSession, src: str, out: str, name: str = "tier_rate",
@@ -44,7 +48,7 @@ def run_tier_rate(spark: SparkSession, src: str, out: str, name: str = "tier_rat
     log = prediction_log_stream(spark, src).withWatermark("ts", watermark)
     agg = MON.tier_rate(log)
     w = agg.writeStream.outputMode("append").format("parquet") \
-        .option("path", out).option("checkpointLocation", _ckpt(spark, name))
+        .option("path", out).option("checkpointLocation", _ckpt(spark, name, src))
     q = w.trigger(availableNow=True).start() if available_now else w.start()
     return q
 
@@ -54,7 +58,7 @@ def run_tier_totals(spark: SparkSession, src: str, query_name: str = "tier_total
     log = prediction_log_stream(spark, src)
     agg = MON.tier_totals(log)
     return agg.writeStream.outputMode("complete").format("memory").queryName(query_name) \
-        .option("checkpointLocation", _ckpt(spark, query_name)).trigger(availableNow=True).start()
+        .option("checkpointLocation", _ckpt(spark, query_name, src)).trigger(availableNow=True).start()
 
 
 def run_scoring(spark: SparkSession, src: str, schema, score_batch, out: str, rejects: str,
@@ -75,4 +79,4 @@ def run_scoring(spark: SparkSession, src: str, schema, score_batch, out: str, re
 
     stream = spark.readStream.schema(schema).parquet(src)
     return stream.writeStream.foreachBatch(handle) \
-        .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start()
+        .option("checkpointLocation", _ckpt(spark, name, src)).trigger(availableNow=True).start()
