@@ -58,7 +58,9 @@ def prefix_sums(df: DataFrame, order_col: str, values: dict[str, Column | str],
     """
     g = list(group_cols)
     vals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
-    d = df.select("*", *[v.alias(f"_v_{k}") for k, v in vals.items()])
+    # the input is a distinct-key table read by two jobs (range edges, running sums):
+    # cached so the upstream aggregation runs once.
+    d = df.select("*", *[v.alias(f"_v_{k}") for k, v in vals.items()]).cache()
     d = range_bucket(d, order_col, n_ranges)
     okey = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*g, "_rng").orderBy(okey).rowsBetween(Window.unboundedPreceding, 0)

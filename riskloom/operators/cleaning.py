@@ -85,12 +85,16 @@ class Cleaner:
         keep = (self.key,) if self.key else ()
         d = sentinel_to_null(df)
         d = with_binary_target(d, self.cfg.TARGET_COL, self.cfg.LABEL_COL, self.cfg.POSITIVE_CLASS)
-        d = drop_columns(d, self.cfg.DROP_COLUMNS, keep=keep).cache()
-        # two decision passes read d: cached (memory and disk) so the input is derived once.
-        self.dropped_missing = high_missing_columns(d, self.cfg.HIGH_MISSING_PCT, exclude=keep)
-        d = d.drop(*self.dropped_missing)
-        self.dropped_constant = constant_columns(d, exclude=keep)
-        return d.drop(*self.dropped_constant)
+        d = drop_columns(d, self.cfg.DROP_COLUMNS, keep=keep)
+        # Both decisions from one aggregation pass: a column's min/max does not depend
+        # on which other columns are dropped, so "constant among the survivors of the
+        # missing-% drop" needs no second pass.
+        cols = [c for c in d.columns if c not in keep]
+        r = d.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(f"m_{c}") for c in cols],
+                  *[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(f"k_{c}") for c in cols]).first()
+        self.dropped_missing = [c for c in cols if r[f"m_{c}"] > self.cfg.HIGH_MISSING_PCT]
+        self.dropped_constant = [c for c in cols if c not in self.dropped_missing and r[f"k_{c}"]]
+        return d.drop(*self.dropped_missing, *self.dropped_constant)
 
 
 def clean(df: DataFrame, key: str | None = "encounter_id") -> DataFrame:
