@@ -75,9 +75,10 @@ def constant_columns(df: DataFrame, exclude=()) -> list[str]:
 class Cleaner:
     """The five cleaning steps in order; ``key`` is carried, never a feature."""
 
-    def __init__(self, cfg=C, key: str | None = "encounter_id"):
+    def __init__(self, cfg=C, key: str | None = "encounter_id", cache_input: bool = True):
         self.cfg = cfg
         self.key = key
+        self.cache_input = cache_input
         self.dropped_missing: list[str] = []
         self.dropped_constant: list[str] = []
 
@@ -86,6 +87,10 @@ class Cleaner:
         d = sentinel_to_null(df)
         d = with_binary_target(d, self.cfg.TARGET_COL, self.cfg.LABEL_COL, self.cfg.POSITIVE_CLASS)
         d = drop_columns(d, self.cfg.DROP_COLUMNS, keep=keep)
+        if self.cache_input:
+            # the decision pass and every later pass of a pipeline read d: derive it once
+            # (memory and disk; recomputed from lineage if an executor is lost).
+            d = d.cache()
         # Both decisions from one aggregation pass: a column's min/max does not depend
         # on which other columns are dropped, so "constant among the survivors of the
         # missing-% drop" needs no second pass.

@@ -35,7 +35,7 @@ def run_feature_pipeline(raw: DataFrame, key: str = KEY, label: str = C.LABEL_CO
                          per_split: bool = False, seed: int = C.SEED) -> PipelineResult:
     cleaner = Cleaner(key=key)
     c = cleaner.fit_transform(raw)
-    s = stratified_split(c, key, label, seed=seed).cache()
+    s = stratified_split(c, key, label, seed=seed)     # reads the cleaner's cached input
     train = s.where(F.col("split") == "train")
     fe = FeatureEngineer()
     if per_split:

@@ -23,7 +23,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cleaned(spark, sf_dir).cache()
+    c = cleaned(spark, sf_dir)          # the cleaner caches its input: fit and transform share it
     return FeatureEngineer().fit(c).transform(c)
 
 

@@ -151,7 +151,6 @@ def _group_query(name, cols):
     def fn(spark, sf_dir):
         c = cleaned(spark, sf_dir)
         if name in _NEEDS_FIT:
-            c = c.cache()
             model = FeatureEngineer().fit(c)
         else:
             model = FeatureModel(None, None)
