@@ -48,7 +48,7 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_of: str,
     w1 = Window.partitionBy(*g, "_salt").orderBy(*order_cols)
     cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(*g).orderBy(*order_cols)
-    return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w2).cast("long")).where(F.col("rank") <= k)
 
 
 def cardinality_top(df: DataFrame, cols, k: int = 3) -> DataFrame:

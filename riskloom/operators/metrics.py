@@ -280,7 +280,7 @@ def score_deciles(scored: DataFrame, q: int = 10, score="score", label="label")
     """Quantile bins like qcut(duplicates='drop'): right-closed, lowest included."""
     probs = linspace(0.0, 1.0, q + 1)
     edges = sorted(set(exact_quantiles(scored.select(score), score, probs)))
-    k = F.greatest(sum((F.col(score) > F.lit(e)).cast("int") for e in edges) - 1, F.lit(0))
+    k = F.greatest(sum((F.col(score) > F.lit(e)).cast("long") for e in edges) - 1, F.lit(0).cast("long"))
     return scored.groupBy(k.alias("decile")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(label), 6).alias("readmission_rate"),
         F.round(F.avg(score), 6).alias("mean_score"))

@@ -70,7 +70,7 @@ def missing_report(df: DataFrame, threshold=C.HIGH_MISSING_PCT) -> DataFrame:
     # long has one row per column: a global window over it is bounded by the schema width.
     return long.select("column", F.round("missing_pct", 6).alias("missing_pct"),
                        (F.col("missing_pct") > threshold).alias("over_threshold"),
-                       w.alias("rank"))
+                       w.cast("long").alias("rank"))
 
 
 def range_report(df: DataFrame, ranges=C.RANGE_CHECKS) -> DataFrame:

@@ -216,7 +216,7 @@ def q_icd_lookup(spark, sf_dir):
 
 
 oracle("icd_lookup", with_encounter(
-    f"SELECT {icd_sql('code')} AS category, sum(n) AS n FROM (SELECT nullif(diag_1, '?') AS code, "
+    f"SELECT {icd_sql('code')} AS category, cast(sum(n) AS BIGINT) AS n FROM (SELECT nullif(diag_1, '?') AS code, "
     f"count(*) AS n FROM encounter GROUP BY 1) c GROUP BY 1"))
 
 

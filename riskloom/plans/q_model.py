@@ -160,7 +160,7 @@ def q_rank_join(spark, sf_dir):
         sc = [c for c in t.columns if c != "feature"][0]
         # each ranking has one row per feature: a global window over it is schema-bounded.
         r = t.select("feature", (F.row_number().over(Window.orderBy(F.desc(F.round(sc, 9)), "feature")) - 1)
-                     .alias(f"{m}_rank"))
+                     .cast("long").alias(f"{m}_rank"))
         out = r if out is None else out.join(r, "feature", "full")
     return out
 
