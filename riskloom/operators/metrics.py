@@ -296,13 +296,25 @@ def _long(df: DataFrame, names: dict) -> DataFrame:
     return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def ranking_metrics(scored: DataFrame, score="score", label="label") -> DataFrame:
+    """AUC (ties half) and average precision from one descending cumulative curve:
+    AUC = Σ neg_s · (tp(s) − pos_s + ½ pos_s) / (P·N), AP = Σ pos_s · precision(s) / P."""
+    c = _desc_curve(scored, score, label)
+    a = c.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"),
+              F.sum(F.col("neg") * (F.col("tps") - 0.5 * F.col("pos"))).alias("_u"),
+              F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("_s"))
+    auc = F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_u") / (F.col("_p") * F.col("_q")))
+    return a.select(F.round(auc, 6).alias("auc_roc"),
+                    F.round(F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")), 6).alias("average_precision"))
+
+
 def headline_metrics(scored: DataFrame, score="score", label="label") -> DataFrame:
     """Long ``(metric, value)``: auc, ap, brier, log loss, ks, gini, ece, mce, best F1,
     clinical utility — one row each (a union of single-row aggregates)."""
     parts = [
-        _long(auc_roc(scored, score, label),
-              {"auc_roc": "auc_roc", "gini": F.round(2 * F.col("auc_roc") - 1, 6)}),
-        _long(average_precision(scored, score, label), {"average_precision": "average_precision"}),
+        _long(ranking_metrics(scored, score, label),
+              {"auc_roc": "auc_roc", "gini": F.round(2 * F.col("auc_roc") - 1, 6),
+               "average_precision": "average_precision"}),
         _long(brier_logloss(scored, score, label), {"brier": "brier", "log_loss": "log_loss"}),
         _long(ks_stat(scored, score=score, label=label), {"ks_statistic": "ks_statistic"}),
         _long(ece_mce(scored, score=score, label=label), {"ece": "ece", "mce": "mce"}),

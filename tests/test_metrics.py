@@ -47,6 +47,9 @@ def test_auc_and_ap_property(spark, xs):
     assert math.isclose(M.auc_roc(df).first()["auc_roc"], round(auc_brute(y, p), 6), abs_tol=1e-9)
     assert math.isclose(M.average_precision(df).first()["average_precision"], round(ap_brute(y, p), 6),
                         abs_tol=1e-9)
+    both = M.ranking_metrics(df).first()
+    assert math.isclose(both["auc_roc"], round(auc_brute(y, p), 6), abs_tol=1e-9)
+    assert math.isclose(both["average_precision"], round(ap_brute(y, p), 6), abs_tol=1e-9)
 
 
 def test_ece_bins_edge_frame(spark):
