@@ -27,19 +27,23 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and written intermediates.
 
-    Read ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset — local tests — make a private one.
+    ``spark.checkpoint.dir`` names it (on a cluster, a folder that driver and
+    executors share); a folder set with ``setCheckpointDir`` counts where the
+    setting is absent.  Only a local master, where everything is one machine,
+    gets a private folder when both are absent; a cluster without one is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if d and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    d = d or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="riskloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     return d
 
 
