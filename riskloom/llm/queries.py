@@ -8,16 +8,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import nbsvm, packing, sharding, simhash
+from riskloom.llm import mtree, nbsvm, packing, secrets, segment, sharding, simhash, spotsigs, suffix, surrogate
 from riskloom.llm.common import documents, hex16
 from riskloom.sources.tables import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs, secrets.fit(secrets.document_samples(docs)))
+    return found.select("doc_id", *[secrets.of_kind("_base", k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)],
+                        F.sha2(secrets.listed("_base"), 256).alias("base_sha256"), secrets.listed("_spans").alias("spans"))
+
+
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compared_with_next(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint("sigs").alias("fingerprint"),
+        spotsigs.fingerprint("edited_sigs").alias("edited_fingerprint"), "near_edited", "near_next",
+        spotsigs.length_partition("sigs").alias("length_partition"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select(
         "doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    key = spark.conf.get("spark.riskloom.surrogateKey", surrogate.KEY)
+    count = lambda kind: F.size(F.filter("_hits", lambda h: h["kind"] == kind)).alias(f"n_{kind}")
+    return surrogate.pseudonymised(docs, key).select("doc_id", "text", *[count(k) for k in surrogate.KINDS])
+
+
+def op5_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sampled(documents(spark, sf_dir))
+
+
 def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.crc32("text").alias("text_crc32"))
@@ -27,6 +52,20 @@ def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("vslot").alias("virtual_slot"), F.col("next_shard").alias("rebalanced_shard"))
 
 
+def op7_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.quantised(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return mtree.search(vectors, F.col("id") % 20 == 0)
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.with_cuts(documents(spark, sf_dir))
+    n_bytes = F.octet_length("text").cast("bigint")
+    removed = F.aggregate("_cuts", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["at"])
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), F.coalesce(removed, F.lit(0)).alias("n_removed"),
+                      F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")).cast("bigint").alias("n_spans"),
+                      F.sha2(suffix.kept_bytes(), 256).alias("kept_sha256"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = nbsvm.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -40,5 +79,16 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_simhash_near_dedup, op6_virtual_slot_sharding, op9_quality_classifier, op10_harmonic_packing)}
-ORACLES: dict[str, str] = {}
+    op1_secret_scan, op2_spot_signatures, op3_simhash_near_dedup, op4_surrogates, op5_gumbel_segmentation,
+    op6_virtual_slot_sharding, op7_mtree_search,
+    op8_suffix_dedup, op9_quality_classifier, op10_harmonic_packing)}
+ORACLES: dict[str, str] = {
+    "op7_mtree_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+                   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20""",
+}
