@@ -34,7 +34,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 TOKEN = "[A-Za-z0-9+/_.=-]"
 SYMBOLS = len(ALPHABET) + 1     # 0: outside the token
 MIN_TOKEN = 16
-MIN_RATIO = 12.0
+MIN_RATIO = 16.0
 FIT_DOCS = 2000
 MASK = "[SECRET]"
 SPAN = "struct<start:int,kind:int,end:int,inner:int>"
