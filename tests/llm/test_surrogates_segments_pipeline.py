@@ -231,33 +231,37 @@ def removed_mask(rows, depth=200):
     return masks
 
 
-def test_pipeline_against_brute_force(spark, reference_tokens):  # noqa: F811
+def test_pipeline_against_brute_force(spark, reference_tokens, tmp_path):  # noqa: F811
     import corpus_pipeline as P
-    docs = read_table(spark, SF001, "documents")
+    given = texts(SF001)
+    given.append((5000, " ".join(dict(given)[1].split()[::-1]) + ' and password = "abcdefgh12345"'))
+    sf = table(spark, given, tmp_path)
+    read_table(spark, SF001, "labels").write.parquet(f"{sf}/labels.parquet")
+    docs = read_table(spark, sf, "documents")
     cols = docs.columns
     stage = dict(P.STAGES)
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "repeats", "secrets", "packing"]
     rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
 
-    one = stage["quality"](spark, docs, SF001)
-    model = nbsvm.fit(docs, read_table(spark, SF001, "labels"))
+    one = stage["quality"](spark, docs, sf)
+    model = nbsvm.fit(docs, read_table(spark, sf, "labels"))
     words = nbsvm.Words()
-    want = [(i, t) for i, t in texts(SF001)
+    want = [(i, t) for i, t in given
             if 1 / (1 + np.exp(-(model[1] * nbsvm.margin(model[0], nbsvm.features(t, words)) + model[2]))) >= 0.3]
     assert one.columns == cols and rows(one) == want
 
     one = one.cache()
-    two = stage["near_duplicates"](spark, one, SF001)
+    two = stage["near_duplicates"](spark, one, sf)
     comp = brute_components({i: brute_simhash(t) for i, t in want})
     want = [(i, t) for i, t in want if comp[i] == i]
     assert two.columns == cols and rows(two) == want
 
-    three = stage["repeats"](spark, two, SF001)
+    three = stage["repeats"](spark, two, sf)
     want = [(i, trimmed(t, m)) for (i, t), m in zip(want, removed_mask(want)) if m.any() or not t]
     assert three.columns == cols and rows(three) == want
     assert all(r.n_chars == len(r.text) for r in three.collect())
 
-    four = stage["secrets"](spark, three, SF001)
+    four = stage["secrets"](spark, three, sf)
     assert four.columns == cols
     got = dict(rows(four))
     for i, t in want:
@@ -270,7 +274,7 @@ def test_pipeline_against_brute_force(spark, reference_tokens):  # noqa: F811
         assert got[i] == "".join([*out, t[at:]])
     assert sum("[SECRET]" in t for t in got.values()) > 0
 
-    five = P.run(spark, SF001)
+    five = P.run(spark, sf)
     check_packed([r.asDict() for r in five.collect()], list(got.items()), reference_tokens)
 
 
