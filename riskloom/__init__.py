@@ -6,7 +6,3 @@ scored-population metrics, risk tiers, subgroup fairness, attribution,
 batch/stream scoring and monitoring — all as DataFrame / Spark SQL /
 Spark ML / Structured Streaming jobs.
 """
-
-from riskloom.config import Config, DEFAULT
-
-__all__ = ["Config", "DEFAULT"]

@@ -1,4 +1,4 @@
-"""Pipeline parameters as dataclass defaults.
+"""Pipeline parameters.
 
 Fixed values: these must equal the original pipeline's configuration for
 results to line up (column lists, brackets, thresholds, gates).
@@ -6,16 +6,12 @@ results to line up (column lists, brackets, thresholds, gates).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-
 # ---- fixed values ---------------------------------------------------------
 TARGET_COL = "readmitted"
 LABEL_COL = "readmitted_30d"
 POSITIVE_CLASS = "<30"
 TARGET_VALUES = ("<30", ">30", "NO")
 DROP_COLUMNS = ("encounter_id", "patient_nbr", "readmitted", "examide", "citoglipton")
-ID_COLUMNS = ("encounter_id", "patient_nbr")
 HIGH_MISSING_PCT = 35.0
 TEST_SIZE = 0.15
 VAL_SIZE = 0.176
@@ -41,12 +37,11 @@ GBT_DEFAULTS = dict(n_estimators=300, learning_rate=0.05, max_depth=6,
 SEARCH_SPACE = dict(
     n_estimators=(200, 800), learning_rate=(0.01, 0.2), max_depth=(3, 9),
     subsample=(0.6, 1.0), colsample_bytree=(0.5, 1.0), min_child_weight=(1, 10),
-    gamma=(0.0, 5.0), reg_alpha=(1.0e-4, 10.0), reg_lambda=(1.0e-4, 10.0),
+    gamma=(0.0, 5.0),
 )
 N_TRIALS = 50
 CALIBRATION_BINS = 10
 FIXED_TIERS = (0.25, 0.50, 0.75)
-FALLBACK_TIERS = (0.15, 0.25, 0.40)
 TIER_NAMES = ("Low", "Medium", "High", "Critical")
 FLAG_PERCENTILE = 80
 SHAP_TOP_K = 5
@@ -89,31 +84,3 @@ LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
 SCORE_BUCKETS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 BATCH_SIZE_BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500)
 # ---------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Config:
-    """Runtime parameters; defaults mirror the fixed values above."""
-
-    target_col: str = TARGET_COL
-    label_col: str = LABEL_COL
-    positive_class: str = POSITIVE_CLASS
-    drop_columns: tuple = DROP_COLUMNS
-    high_missing_pct: float = HIGH_MISSING_PCT
-    test_size: float = TEST_SIZE
-    val_size: float = VAL_SIZE
-    seed: int = SEED
-    age_brackets: tuple = AGE_BRACKETS
-    medication_columns: tuple = MEDICATION_COLUMNS
-    visit_columns: tuple = VISIT_COLUMNS
-    high_utilizer_q: float = HIGH_UTILIZER_Q
-    top_k: int = TOP_K
-    min_rows: int = MIN_ROWS
-    calibration_bins: int = CALIBRATION_BINS
-    flag_percentile: int = FLAG_PERCENTILE
-    shap_top_k: int = SHAP_TOP_K
-    tiers_fixed: tuple = FIXED_TIERS
-    extra: dict = field(default_factory=dict)
-
-
-DEFAULT = Config()

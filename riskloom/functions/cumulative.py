@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import written
+
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
     if n_ranges:
@@ -59,8 +61,8 @@ def prefix_sums(df: DataFrame, order_col: str, values: dict[str, Column | str],
     g = list(group_cols)
     vals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
     # the input is a distinct-key table read by two jobs (range edges, running sums):
-    # cached so the upstream aggregation runs once.
-    d = df.select("*", *[v.alias(f"_v_{k}") for k, v in vals.items()]).cache()
+    # written so the upstream aggregation runs once and nothing stays cached.
+    d = written(df.select("*", *[v.alias(f"_v_{k}") for k, v in vals.items()]), "prefix")
     d = range_bucket(d, order_col, n_ranges)
     okey = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*g, "_rng").orderBy(okey).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +75,12 @@ def prefix_sums(df: DataFrame, order_col: str, values: dict[str, Column | str],
                                     .alias(f"_o_{k}") for k in vals])
     # offs has one row per (group, range): ranges are a parameter, so without
     # groups it is tiny and broadcast; with groups AQE sizes the join itself.
-    j = local.join(offs if g else F.broadcast(offs), [*g, "_rng"])
+    # A NULL group is a group.
+    offs = offs.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("_rng").alias("_orng"), *[f"_o_{k}" for k in vals])
+    same = F.col("_rng") == F.col("_orng")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    j = local.join(offs if g else F.broadcast(offs), same)
     return j.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in vals])
 
 
@@ -175,7 +182,11 @@ def grouped_exact_quantiles(df: DataFrame, value_col: str, group_cols, probs: li
             at = {((), r["_k"]): r["_v"] for r in rows}
             return {(): [lerp(at[((), need[((), p)][1])], at[((), need[((), p)][2])],
                               need[((), p)][0] - need[((), p)][1]) for p in probs]}
-        hit = ps.join(F.broadcast(tdf), g)
+        tdf = tdf.withColumnsRenamed({c: f"_t_{c}" for c in g})
+        same = F.lit(True)
+        for c in g:
+            same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+        hit = ps.join(tdf, same)
         rows = hit.where((F.col("_cum") - F.col("_cnt") <= F.col("_k")) & (F.col("_cum") > F.col("_k"))) \
             .select(*g, "_k", "_v").collect()
     finally:

@@ -86,6 +86,14 @@ def tier_no(tier) -> Column:
 
 
 # ---- explicit-edge binning (binary-float edges like numpy.linspace) -------
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over the rows where both are known; NULL for a constant side."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def linspace(lo: float, hi: float, n: int) -> list[float]:
     """numpy.linspace without numpy: same float results for the edges we use."""
     if n == 1:

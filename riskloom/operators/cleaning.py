@@ -79,9 +79,16 @@ class Cleaner:
         self.cfg = cfg
         self.key = key
         self.cache_input = cache_input
+        self._cached: DataFrame | None = None
         self.dropped_missing: list[str] = []
         self.dropped_constant: list[str] = []
 
+    def release(self) -> None:
+        """Drop the cached input once what reads it has been written."""
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
         keep = (self.key,) if self.key else ()
         d = sentinel_to_null(df)
@@ -90,7 +97,7 @@ class Cleaner:
         if self.cache_input:
             # the decision pass and every later pass of a pipeline read d: derive it once
             # (memory and disk; recomputed from lineage if an executor is lost).
-            d = d.cache()
+            d = self._cached = d.cache()
         # Both decisions from one aggregation pass: a column's min/max does not depend
         # on which other columns are dropped, so "constant among the survivors of the
         # missing-% drop" needs no second pass.

@@ -1,9 +1,8 @@
 """Train-fitted ordinal encoding, median imputation and z-scoring.
 
-Fitted state is small parameter data: the code table (one row per distinct
-category value), medians, means/stds.  The code table is applied as literal
-``map`` lookups when its size is within ``max_literal_entries`` (checked with a
-count), else as per-column equi-joins that AQE plans by measured size.
+Fitted state is the code table (one row per distinct category value, a written
+table), medians, means/stds.  Codes are looked up by equi-joins on the value,
+planned by the code table's measured size.
 """
 
 from __future__ import annotations
@@ -14,79 +13,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.cleaning import numeric_columns, string_columns
+from riskloom.session import written
 
 
 def code_table(train: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, code): lexicographic 0-based codes of the non-NULL train values,
-    plus one NULL-value row per column whose train data had NULLs."""
+    plus one NULL-value row per column whose train data had NULLs.
+
+    The distinct values are dealt into ranges of (column, value); a code is the rank
+    inside its range plus the sizes of the column's earlier ranges, so no task sorts
+    a whole column's values.
+    """
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])).alias("x")) \
         .select("x.*").distinct()
-    w = Window.partitionBy("column").orderBy("value")
     # value order is byte order of UTF-8 = code-point order, as Python's sort.
-    return long.where(F.col("value").isNotNull()) \
-        .select("column", "value", (F.dense_rank().over(w) - 1).alias("code")) \
-        .unionByName(long.where(F.col("value").isNull())
-                     .select("column", "value", F.lit(None).cast("int").alias("code")))
+    dealt = written(long.repartitionByRange("column", F.col("value").asc_nulls_first())
+                    .withColumn("_rng", F.spark_partition_id()), "codes")
+    vals = dealt.where(F.col("value").isNotNull())
+    w = Window.partitionBy("column", "_rng").orderBy("value")
+    # one row per (column, range)
+    before = Window.partitionBy("column").orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offs = vals.groupBy("column", "_rng").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("column", "_rng", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    coded = vals.withColumn("_r", F.row_number().over(w) - 1).join(offs, ["column", "_rng"]) \
+        .select("column", "value", (F.col("_r") + F.col("_off")).cast("int").alias("code"))
+    return coded.unionByName(dealt.where(F.col("value").isNull())
+                             .select("column", "value", F.lit(None).cast("int").alias("code")))
 
 
 @dataclass
 class OrdinalModel:
     cols: list[str]
-    literal: dict | None = None        # column -> {value: code}; None key marks "nulls seen"
     table: DataFrame | None = None
+    null_cols: tuple = ()              # columns whose train data had NULLs
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if not self.cols:
-            return df
-        if self.literal is not None:
-            sel = []
-            for c in df.columns:
-                if c in self.cols:
-                    m = self.literal.get(c, {})
-                    seen_null = None in m
-                    pairs = [x for v, code in m.items() if v is not None
-                             for x in (F.lit(v), F.lit(code))]
-                    lut = F.create_map(*pairs) if pairs else None
-                    hit = lut[F.col(c)] if lut is not None else F.lit(None).cast("int")
-                    nul = F.lit(None).cast("double") if seen_null else F.lit(-1.0)
-                    sel.append(F.when(F.col(c).isNull(), nul)
-                               .otherwise(F.coalesce(hit.cast("double"), F.lit(-1.0))).alias(c))
-                else:
-                    sel.append(F.col(c))
-            return df.select(*sel)
         out = df
         for c in self.cols:
-            t = self.table.where(F.col("column") == c)
-            nulls = t.where(F.col("value").isNull()).limit(1).select(F.lit(True).alias("_nul"))
-            m = t.where(F.col("value").isNotNull()).select(F.col("value").alias("_v"),
-                                                          F.col("code").alias(f"_code_{c}"))
-            out = out.join(m, out[c] == m["_v"], "left").drop("_v")
-            seen_null = nulls.count() > 0
-            nul = F.lit(None).cast("double") if seen_null else F.lit(-1.0)
-            out = out.withColumn(c, F.when(F.col(c).isNull(), nul).otherwise(
-                F.coalesce(F.col(f"_code_{c}").cast("double"), F.lit(-1.0)))).drop(f"_code_{c}")
+            m = self.table.where((F.col("column") == c) & F.col("value").isNotNull()) \
+                .select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+            nul = F.lit(None).cast("double") if c in self.null_cols else F.lit(-1.0)
+            out = out.join(m, out[c] == m["_v"], "left") \
+                .withColumn(c, F.when(F.col(c).isNull(), nul).otherwise(
+                    F.coalesce(F.col("_code").cast("double"), F.lit(-1.0)))).drop("_v", "_code")
         return out
 
 
 class OrdinalEncoder:
-    def __init__(self, cols: list[str] | None = None, max_literal_entries: int = 50_000):
+    def __init__(self, cols: list[str] | None = None):
         self.cols = cols
-        self.max_literal_entries = max_literal_entries
 
     def fit(self, train: DataFrame) -> OrdinalModel:
         cols = self.cols if self.cols is not None else string_columns(train)
         if not cols:
             return OrdinalModel([])
-        t = code_table(train, cols).cache()
-        n = t.count()
-        if n <= self.max_literal_entries:
-            lit: dict = {c: {} for c in cols}
-            for r in t.collect():
-                lit[r["column"]][r["value"]] = r["code"]
-            t.unpersist()
-            return OrdinalModel(cols, literal=lit)
-        return OrdinalModel(cols, table=t)
+        t = written(code_table(train, cols), "code-table")
+        nulls = t.where(F.col("value").isNull()).select("column").collect()    # at most one row a column
+        return OrdinalModel(cols, t, tuple(r["column"] for r in nulls))
 
 
 @dataclass

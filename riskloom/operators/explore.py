@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.exprs import safe_corr
+
 from riskloom.functions.exprs import linspace
 from riskloom.operators.cleaning import numeric_columns, string_columns
 
@@ -92,7 +94,7 @@ def histogram(df: DataFrame, cols, bins: int = 30) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation for every pair below the diagonal (pairwise-complete rows)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
+    row = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}")
                    for a, b in pairs])
     s = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                                      F.round(F.col(f"`{a}__{b}`"), 6).alias("corr"))
@@ -109,11 +111,12 @@ def box_stats(df: DataFrame, cols, by: str) -> DataFrame:
     from riskloom.functions.cumulative import grouped_exact_quantiles
     long = unpivot(df, cols, keep=(by,), value_type="double").where(F.col("value").isNotNull())
     q = grouped_exact_quantiles(long, "value", ["column", by], [0.25, 0.5, 0.75])
-    keyc = F.concat_ws("|", F.col("column"), F.col(by).cast("string"))
-
-    def lut(i):
-        return F.create_map(*[x for (c, b), v in q.items() for x in (F.lit(f"{c}|{b}"), F.lit(v[i]))])
-    q1, med, q3 = lut(0)[keyc], lut(1)[keyc], lut(2)[keyc]
+    schema = long.select(F.col("column").alias("_qc"), F.col(by).alias("_qb")).schema
+    for c in ("_q1", "_q2", "_q3"):
+        schema = schema.add(c, "double")
+    quart = df.sparkSession.createDataFrame([(*k, *v) for k, v in q.items()], schema)
+    long = long.join(quart, (F.col("column") == F.col("_qc")) & F.col(by).eqNullSafe(F.col("_qb")))
+    q1, med, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
     iqr = q3 - q1
     v = F.col("value")
     w = long.groupBy("column", by).agg(
@@ -147,9 +150,3 @@ def column_profile(df: DataFrame) -> DataFrame:
     return base.join(distinct, "column", "left") \
         .select("column", "type", "rows", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"),
                 "min", "max")
-
-
-def categorical_numeric_split(df: DataFrame, exclude=()):
-    """Schema-driven split (no data touched)."""
-    return ([c for c in string_columns(df) if c not in exclude],
-            [c for c in numeric_columns(df) if c not in exclude])

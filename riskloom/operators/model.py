@@ -2,10 +2,11 @@
 stopping, random search, isotonic calibration, scoring, persistence.
 
 Boosted trees map as: n_estimators → maxIter, learning_rate → stepSize,
-max_depth → maxDepth (capped at 30), subsample → subsamplingRate,
+max_depth → maxDepth (an error above MLlib's limit of 30), subsample → subsamplingRate,
 colsample_bytree → featureSubsetStrategy (fraction), min_child_weight →
-minInstancesPerNode, gamma → minInfoGain; the L1/L2 leaf penalties have no
-MLlib counterpart.  Class imbalance is a per-row weight (neg/pos on positives).
+minInstancesPerNode, gamma → minInfoGain (times ``GAIN_SCALE``: MLlib's gain is a
+variance reduction per row, at most 1); the L1/L2 leaf penalties have no MLlib
+counterpart and are not searched.  Class imbalance is a per-row weight (neg/pos on positives).
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from riskloom import config as C
 
 
+GAIN_SCALE = 2.0e-4
+
+
 def class_ratio(df: DataFrame, label: str) -> float:
     r = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
     return r["neg"] / r["pos"] if r["pos"] else 1.0
@@ -38,14 +42,16 @@ def gbt(features, label: str, params: dict | None = None, weight: str | None = "
         validation: str | None = None, seed: int = C.SEED) -> Pipeline:
     p = dict(C.GBT_DEFAULTS)
     p.update(params or {})
+    if int(p["max_depth"]) > 30:
+        raise ValueError("max_depth over 30 is beyond MLlib's trees")
     kw = dict(featuresCol="features", labelCol=label, maxIter=int(p["n_estimators"]),
-              stepSize=float(p["learning_rate"]), maxDepth=min(int(p["max_depth"]), 30),
+              stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
               subsamplingRate=float(p["subsample"]),
               featureSubsetStrategy=str(float(p["colsample_bytree"])), seed=seed)
     if "min_child_weight" in p:
         kw["minInstancesPerNode"] = max(1, int(round(p["min_child_weight"])))
     if "gamma" in p:
-        kw["minInfoGain"] = float(p["gamma"])
+        kw["minInfoGain"] = float(p["gamma"]) * GAIN_SCALE
     if weight:
         kw["weightCol"] = weight
     if validation:
@@ -112,6 +118,11 @@ class RiskModel:
         c = self.calibrator.transform(s)
         return c if out == "score" else c.withColumnRenamed("score", out)
 
+    def score_vectors(self, df: DataFrame) -> DataFrame:
+        """``df`` (with a ``features`` vector) with the ``score`` that ``predict_proba`` gives."""
+        s = positive_score(self.model.stages[-1].transform(df))
+        return s.withColumn("score", F.col("raw_score")) if self.calibrator is None else self.calibrator.transform(s)
+
     def predict(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         return self.predict_proba(df).withColumn("pred", (F.col("score") >= threshold).cast("int"))
 
@@ -133,35 +144,29 @@ class RiskModel:
 
 
 # ---- random search ------------------------------------------------------------------------
-def sample_params(rng: random.Random, space=C.SEARCH_SPACE, n_estimators_cap: int | None = None) -> dict:
-    """One draw: ints uniform, rates and penalties log-uniform, fractions uniform."""
+def sample_params(rng: random.Random, space=C.SEARCH_SPACE) -> dict:
+    """One draw: ints uniform, rates log-uniform, fractions uniform."""
     import math
     p = {}
     for k, (lo, hi) in space.items():
         if k in ("n_estimators", "max_depth", "min_child_weight"):
             p[k] = rng.randint(int(lo), int(hi))
-        elif k in ("learning_rate", "reg_alpha", "reg_lambda"):
+        elif k == "learning_rate":
             p[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
         else:
             p[k] = rng.uniform(lo, hi)
-    if n_estimators_cap:
-        p["n_estimators"] = min(p["n_estimators"], n_estimators_cap)
     return p
 
 
 def hyper_search(train: DataFrame, val: DataFrame, features, label: str, n_trials: int = C.N_TRIALS,
-                 seed: int = C.SEED, parallelism: int = 2, n_estimators_cap: int | None = None,
-                 depth_cap: int | None = None) -> DataFrame:
+                 seed: int = C.SEED, parallelism: int = 2, space=C.SEARCH_SPACE) -> DataFrame:
     """Seeded random search maximising validation AUC (fits run as concurrent Spark jobs).
 
-    Returns ``(trial, params…, val_auc)``; the trials table has n_trials rows.
+    Returns ``(trial, params…, n_nodes, val_auc)``; the trials table has n_trials rows.
     """
     from riskloom.operators.metrics import auc_table
     rng = random.Random(seed)
-    draws = [sample_params(rng, n_estimators_cap=n_estimators_cap) for _ in range(n_trials)]
-    if depth_cap:
-        for d in draws:
-            d["max_depth"] = min(d["max_depth"], depth_cap)
+    draws = [sample_params(rng, space) for _ in range(n_trials)]
     train = train.cache()
     val = val.cache()
 
@@ -169,12 +174,14 @@ def hyper_search(train: DataFrame, val: DataFrame, features, label: str, n_trial
         m = fit_gbt(train, features, label, draws[i])
         s = score(m, val)
         auc = auc_table(s, "raw_score", label).first()["auc_roc"]
-        return i, auc
+        return i, (m.stages[-1].totalNumNodes, auc)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         res = dict(ex.map(run, range(n_trials)))
-    rows = [(i, *[float(draws[i][k]) for k in sorted(C.SEARCH_SPACE)], res[i]) for i in range(n_trials)]
-    schema = "trial int, " + ", ".join(f"{k} double" for k in sorted(C.SEARCH_SPACE)) + ", val_auc double"
+    train.unpersist()
+    val.unpersist()
+    rows = [(i, *[float(draws[i][k]) for k in sorted(space)], *res[i]) for i in range(n_trials)]
+    schema = "trial int, " + ", ".join(f"{k} double" for k in sorted(space)) + ", n_nodes int, val_auc double"
     return train.sparkSession.createDataFrame(rows, schema)
 
 
@@ -186,7 +193,6 @@ def search_convergence(trials: DataFrame) -> DataFrame:
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    cols = [c for c in trials.columns if c not in ("trial", "val_auc")]
-    return trials.agg(F.max("val_auc").alias("val_auc"),
-                      F.max_by("trial", "val_auc").alias("trial"),
-                      *[F.max_by(c, "val_auc").alias(c) for c in cols])
+    """The row of the best ``val_auc``, of equal ones the first trial."""
+    best = F.max_by(F.struct(*[F.col(c) for c in trials.columns]), F.struct("val_auc", -F.col("trial")))
+    return trials.agg(best.alias("b")).select("b.*")

@@ -18,6 +18,7 @@ from riskloom.operators.cleaning import Cleaner, numeric_columns, string_columns
 from riskloom.operators.encode import MedianImputer, OrdinalEncoder
 from riskloom.operators.features import FeatureEngineer
 from riskloom.operators.split import stratified_split
+from riskloom.session import written
 
 KEY = "encounter_id"
 
@@ -42,19 +43,15 @@ def run_feature_pipeline(raw: DataFrame, key: str = KEY, label: str = C.LABEL_CO
         f = fe.fit_transform_per_split(s)
     else:
         f = fe.fit(train).transform(s)
-    f = f.cache()
+    f = written(f, "features")         # fits and transforms below read it; the derived input is done with
+    cleaner.release()
     ftrain = f.where(F.col("split") == "train")
     cats = [x for x in string_columns(f) if x != "split"]
     enc = OrdinalEncoder(cats).fit(ftrain)
-    e = enc.transform(f)
+    e = written(enc.transform(f), "encoded")
     etrain = e.where(F.col("split") == "train")
     nums = [x for x in numeric_columns(e) if x not in (key, label)]
     imp = MedianImputer(nums).fit(etrain)
     out = imp.transform(e)
     out = out.select(key, "split", label, *[F.col(x).cast("double").alias(x) for x in nums])
     return PipelineResult(out, nums, cats, cleaner, imp.medians)
-
-
-def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One partitioned write; readers prune by ``split``."""
-    df.write.mode(mode).partitionBy("split").parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import config as C
+from riskloom.functions.exprs import safe_corr
 from riskloom.functions import exprs as X
 
 CHECK_SCHEMA = "check string, severity string, metric double, passed boolean"
@@ -121,7 +122,7 @@ def leakage_audit(df: DataFrame, target=C.TARGET_COL, label=None) -> DataFrame:
         nums = numeric_columns(df, exclude=(label,))
         if nums:
             lab = F.col(label).cast("double")
-            a = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), lab)).alias(c) for c in nums])
+            a = df.agg(*[F.abs(safe_corr(c, lab)).alias(c) for c in nums])
             n_hi = sum(F.coalesce(F.col(c) >= 0.99, F.lit(False)).cast("int") for c in nums)
             out = out.unionByName(a.select(F.lit("leakage:corr").alias("check"),
                                            F.lit("error").alias("severity"),
@@ -202,31 +203,32 @@ def row_constraints(df: DataFrame, fields=REQUEST_FIELDS) -> DataFrame:
     """Apply defaults, then list violated constraints per row.
 
     Output: all input columns (defaults filled, declared types cast) plus
-    ``violations array<string>``; a row is valid iff the array is empty.
+    ``violations array<string>``; a row is valid iff the array is empty.  A value
+    that is no number of the declared type (text, or a fraction in an int field)
+    is a ``type`` violation and becomes NULL; it never stops the job.
     Extra columns are allowed and passed through.
     """
     cols, checks = [], []
     declared = {f[0] for f in fields}
     for name, typ, required, ge, le, default in fields:
-        if name in df.columns:
-            v = F.col(name)
-            if typ != "string":
-                v = v.cast(typ)
-            if default is not None:
-                v = F.coalesce(v, F.lit(default).cast(typ))
-        else:
-            v = F.lit(default).cast(typ)
-        cols.append(v.alias(name))
-        c = F.col(name)
+        raw = F.col(name) if name in df.columns else F.lit(None).cast(typ)
+        v = raw
+        if typ != "string":
+            number = raw.try_cast("double")
+            whole = number == F.floor(number)
+            v = F.when(whole, number).cast("int") if typ == "int" else number
+            checks.append(F.when(raw.isNotNull() & v.isNull(), F.lit(f"{name}:type")))
         if required:
-            checks.append(F.when(c.isNull(), F.lit(f"{name}:missing")))
+            checks.append(F.when(raw.isNull(), F.lit(f"{name}:missing")))
         if ge is not None:
-            checks.append(F.when(c < ge, F.lit(f"{name}:ge")))
+            checks.append(F.when(v < ge, F.lit(f"{name}:ge")))
         if le is not None:
-            checks.append(F.when(c > le, F.lit(f"{name}:le")))
+            checks.append(F.when(v > le, F.lit(f"{name}:le")))
+        if default is not None:
+            v = F.coalesce(v, F.lit(default).cast(typ))
+        cols.append(v.alias(name))
     extra = [F.col(c) for c in df.columns if c not in declared]
-    d = df.select(*extra, *cols)
-    return d.withColumn("violations", F.array_compact(F.array(*checks)))
+    return df.select(*extra, *cols, F.array_compact(F.array(*checks)).alias("violations"))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

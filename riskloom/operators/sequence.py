@@ -37,7 +37,9 @@ def entity_sequence(df: DataFrame, key: str, ts: str, tiebreak: str,
         key, "_chunk", F.lead("_first").over(wt).alias("_next_chunk_first"),
         *[F.coalesce(F.sum(f"_t_{n}").over(wt.rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(0)).alias(f"_o_{n}") for n in prior_counts])
-    j = local.join(offs, [key, "_chunk"])
+    # null-safe: rows without key or time form groups of their own, as in one window.
+    offs = offs.withColumnRenamed(key, "_ok").withColumnRenamed("_chunk", "_oc")
+    j = local.join(offs, F.col(key).eqNullSafe(F.col("_ok")) & F.col("_chunk").eqNullSafe(F.col("_oc")))
     return j.select(
         *df.columns,
         F.coalesce("_next_in_chunk", "_next_chunk_first").alias(next_name),

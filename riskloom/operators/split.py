@@ -35,7 +35,7 @@ def allocate(counts: dict, n_take: int) -> dict:
     exact = {k: n_take * v / n for k, v in counts.items()}
     out = {k: min(counts[k], math.floor(x)) for k, x in exact.items()}
     left = n_take - sum(out.values())
-    for k in sorted(counts, key=lambda k: (-(exact[k] - math.floor(exact[k])), k)):
+    for k in sorted(counts, key=lambda k: (-(exact[k] - math.floor(exact[k])), k is None, 0 if k is None else k)):
         if left <= 0:
             break
         if out[k] < counts[k]:
@@ -48,10 +48,11 @@ def _cuts(hk: DataFrame, key: str, label: str, wanted: dict) -> dict:
     """(hash, key) at each wanted 0-based position per class, all classes in one pass.
 
     ``wanted``: {class: [positions]}.  Distinct (class, hash) counts → prefix counts
-    per class (one distributed pass) → the rows covering the positions; only on a
-    hash tie are the tied rows ordered by key (a handful of rows).
+    per class (one distributed pass) → the rows covering the positions.  Each row
+    carries its smallest and largest key, so only different keys of one hash need
+    another look, as (key, count) rows: a repeated key stays one row.
     """
-    cnt = hk.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
+    cnt = hk.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_cnt"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
     ps = prefix_sums(cnt, "_h", {"_cum": F.col("_cnt")}, group_cols=[label])
     cond = None
     for cls, positions in wanted.items():
@@ -59,15 +60,22 @@ def _cuts(hk: DataFrame, key: str, label: str, wanted: dict) -> dict:
             c = F.col(label).eqNullSafe(F.lit(cls)) & (F.col("_cum") - F.col("_cnt") <= pos) \
                 & (F.col("_cum") > pos)
             cond = c if cond is None else (cond | c)
-    rows = ps.where(cond).select(label, "_h", "_cnt", "_cum").collect() if cond is not None else []
+    rows = ps.where(cond).select(label, "_h", "_cnt", "_lo", "_hi", "_cum").collect() if cond is not None else []
     out = {}
     for cls, positions in wanted.items():
         for pos in positions:
             r = next(r for r in rows if r[label] == cls and r["_cum"] - r["_cnt"] <= pos < r["_cum"])
-            sub = hk.where(F.col(label).eqNullSafe(F.lit(cls)) & (F.col("_h") == r["_h"]))
-            ks = [x[key] for x in sub.select(key).orderBy(key).collect()] if r["_cnt"] > 1 \
-                else [sub.select(key).first()[key]]
-            out[(cls, pos)] = (r["_h"], ks[pos - (r["_cum"] - r["_cnt"])])
+            if r["_lo"] == r["_hi"]:
+                out[(cls, pos)] = (r["_h"], r["_lo"])
+                continue
+            tied = hk.where(F.col(label).eqNullSafe(F.lit(cls)) & (F.col("_h") == r["_h"])) \
+                .groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(key).collect()
+            left = pos - (r["_cum"] - r["_cnt"])
+            for t in tied:
+                if left < t["n"]:
+                    out[(cls, pos)] = (r["_h"], t[key])
+                    break
+                left -= t["n"]
     return out
 
 

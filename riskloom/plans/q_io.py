@@ -98,15 +98,17 @@ oracle("sink_json_metrics", _metrics_sql())
 
 @query("params_io")
 def q_params_io(spark, sf_dir):
-    """Persist fitted parameters (tier thresholds, medians, selected features) and reload."""
+    """Persist fitted parameters (tier thresholds, medians, the consensus's selected
+    features, the score at the flag percentile) and reload."""
+    from riskloom.functions.cumulative import exact_quantiles
     from riskloom.operators import strata as S
-    from riskloom.plans.q_model import prepared
-    from riskloom.operators.pipeline import run_feature_pipeline
+    from riskloom.plans.q_model import _sql_consensus, prepared_medians
     sc = scored(spark, sf_dir, with_groups=False).cache()
     thr = S.tier_thresholds(sc)
-    _, names = prepared(spark, sf_dir)
-    med = run_feature_pipeline(encounters(spark, sf_dir)).medians
+    flag = exact_quantiles(sc, "score", [C.FLAG_PERCENTILE / 100])[0]
+    names = [r["feature"] for r in _sql_consensus(spark, sf_dir).where("in_2plus").orderBy("mean_rank", "feature").collect()]
     path = _path(spark, sf_dir, "params")
-    IO.save_params(spark, path, {"tier_thresholds": thr, "medians": med, "selected_features": names,
-                                 "flag_percentile": C.FLAG_PERCENTILE})
+    IO.save_params(spark, path, {"tier_thresholds": thr, "medians": prepared_medians(spark, sf_dir), "selected_features": names,
+                                 "flag_percentile": C.FLAG_PERCENTILE, "flag_threshold": flag})
+    sc.unpersist()
     return IO.load_params(spark, path)

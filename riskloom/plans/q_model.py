@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskloom import config as C
@@ -16,30 +17,49 @@ from riskloom.plans.registry import query
 from riskloom.plans.sqlparts import PIPE_NUMS, with_cleaned, with_pipeline
 from riskloom.session import scratch_path
 from riskloom.sources.encounters import encounters
+from riskloom.sources.tables import read_table
 
 KEY = "encounter_id"
 LABEL = C.LABEL_COL
-_PREPARED: dict = {}
+# Written feature matrices and fitted models by application, input files and settings.
+_MADE: dict = {}
 
-# Registry-sized model settings (library defaults stay the full ones).
-SMALL_GBT = dict(n_estimators=10, learning_rate=0.1, max_depth=4, subsample=0.8, colsample_bytree=0.8)
+# The registered search: the full space but for tree counts and depths, whose
+# ranges are this parameter (a search over 200-800 trees a trial is the library
+# default, C.SEARCH_SPACE).
+REGISTRY_SPACE = dict(C.SEARCH_SPACE, n_estimators=(6, 24), max_depth=(3, 5))
+REGISTRY_TRIALS = 3
+
+
+def input_key(spark, sf_dir, *settings) -> str:
+    """Names what is made of the input files as they are now: path, size and time of
+    each, the application and the settings."""
+    files = []
+    for t in ("customer", "lineitem", "orders"):
+        m = read_table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files += sorted(tuple(map(str, r)) for r in m.distinct().collect())
+    return hashlib.md5(repr((spark.sparkContext.applicationId, files, settings)).encode()).hexdigest()[:16]
 
 
 def prepared(spark, sf_dir):
-    """The train-fitted feature matrix, written once per session under the shared
-    checkpoint folder (cuts the long lineage for the many model jobs)."""
-    k = (spark.sparkContext.applicationId, sf_dir)
-    if k not in _PREPARED:
+    """The train-fitted feature matrix, written once per application and input under
+    the shared checkpoint folder (cuts the long lineage for the many model jobs)."""
+    k = "pipeline_" + input_key(spark, sf_dir)
+    if k not in _MADE:
         from riskloom.operators.pipeline import run_feature_pipeline
         res = run_feature_pipeline(encounters(spark, sf_dir))
-        tag = hashlib.md5(repr(k).encode()).hexdigest()[:12]
-        path = scratch_path(spark, f"pipeline_{tag}")
+        path = scratch_path(spark, k)
         res.data.write.mode("overwrite").partitionBy("split").parquet(path)
-        _PREPARED[k] = (path, res.feature_names)
-    path, names = _PREPARED[k]
+        _MADE[k] = (path, res.feature_names, res.medians)
+    path, names, _ = _MADE[k]
     return spark.read.parquet(path), names
 
 
+def prepared_medians(spark, sf_dir) -> dict:
+    prepared(spark, sf_dir)
+    return _MADE["pipeline_" + input_key(spark, sf_dir)][2]
+
+
 def _splits(spark, sf_dir):
     d, names = prepared(spark, sf_dir)
     return (d.where(F.col("split") == "train"), d.where(F.col("split") == "val"),
@@ -187,27 +207,40 @@ oracle("topk_set_algebra", _pipe_sql(
 @query("rank_lasso")
 def q_rank_lasso(spark, sf_dir):
     tr, _, _, names = _splits(spark, sf_dir)
-    return SEL.lasso_coefficients(tr, names, LABEL, max_iter=100)
+    return SEL.lasso_coefficients(tr, names, LABEL)
 
 
 @query("rank_forest")
 def q_rank_forest(spark, sf_dir):
     tr, _, _, names = _splits(spark, sf_dir)
-    return SEL.forest_importance(tr, names, LABEL, n_trees=10, max_depth=5)
+    return SEL.forest_importance(tr.cache(), names, LABEL)
 
 
 @query("select_top_features")
 def q_select_top(spark, sf_dir):
     tr, _, _, names = _splits(spark, sf_dir)
-    _, cons = SEL.select_top_features(tr.cache(), names, LABEL, rf_trees=10, rf_depth=5)
+    _, cons = SEL.select_top_features(tr.cache(), names, LABEL)
     return cons
 
 
 # ---- 2.8 models -----------------------------------------------------------------------------
 def _fit_small(spark, sf_dir):
     tr, va, te, names = _splits(spark, sf_dir)
-    m = MD.fit_gbt(tr, names, LABEL, SMALL_GBT)
-    return m, tr, va, te, names
+    return fitted(spark, sf_dir), tr, va, te, names
+
+
+def fitted(spark, sf_dir):
+    """The boosted trees of the configured settings, fitted once per application and
+    input, stored and loaded by every query that needs them."""
+    k = "gbt_" + input_key(spark, sf_dir, sorted(C.GBT_DEFAULTS.items()))
+    if k not in _MADE:
+        tr, _, _, names = _splits(spark, sf_dir)
+        tr = tr.cache()
+        path = scratch_path(spark, k)
+        MD.fit_gbt(tr, names, LABEL).write().overwrite().save(path)
+        tr.unpersist()
+        _MADE[k] = path
+    return PipelineModel.load(_MADE[k])
 
 
 @query("fit_gbt")
@@ -219,8 +252,9 @@ def q_fit_gbt(spark, sf_dir):
 @query("fit_gbt_early_stop")
 def q_fit_gbt_es(spark, sf_dir):
     tr, va, _, names = _splits(spark, sf_dir)
-    p = dict(SMALL_GBT, n_estimators=20)
-    m = MD.fit_gbt(tr, names, LABEL, p, val=va)
+    m = MD.fit_gbt(tr.cache(), names, LABEL, val=va.cache())
+    tr.unpersist()
+    va.unpersist()
     n_trees = len(m.stages[-1].trees)
     return MD.score(m, va).select(KEY, F.round("raw_score", 6).alias("raw_score"),
                                   F.lit(n_trees).alias("n_trees"))
@@ -230,7 +264,7 @@ def q_fit_gbt_es(spark, sf_dir):
 def q_fit_logistic(spark, sf_dir):
     from riskloom.operators.metrics import average_precision
     tr, va, _, names = _splits(spark, sf_dir)
-    m = MD.fit_logistic(tr, names, LABEL, max_iter=50)
+    m = MD.fit_logistic(tr, names, LABEL)
     s = MD.score(m, va).select(F.col(LABEL).alias("label"), F.col("raw_score").alias("score")).cache()
     return _long(auc_table(s), {"val_auc": F.round("auc_roc", 6)}) \
         .unionByName(_long(average_precision(s), {"val_ap": "average_precision"}))
@@ -239,17 +273,49 @@ def q_fit_logistic(spark, sf_dir):
 @query("hyper_search")
 def q_hyper_search(spark, sf_dir):
     tr, va, _, names = _splits(spark, sf_dir)
-    return MD.hyper_search(tr, va, names, LABEL, n_trials=3, n_estimators_cap=8, depth_cap=4)
+    return MD.hyper_search(tr, va, names, LABEL, n_trials=REGISTRY_TRIALS, space=REGISTRY_SPACE)
+
+
+_TRIAL_FEATURES = PIPE_NUMS[:8]
+
+
+def _feature_trials(spark, sf_dir):
+    """A trials table that SQL can derive too: each numeric feature's validation AUC as a scorer."""
+    _, va, _, _ = _splits(spark, sf_dir)
+    va = va.cache()
+    out = None
+    for i, c in enumerate(_TRIAL_FEATURES):
+        t = auc_table(va.select(F.col(LABEL).alias("label"), F.col(c).alias("score"))) \
+            .select(F.lit(i).alias("trial"), F.lit(c).alias("feature"), F.round("auc_roc", 6).alias("val_auc"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _trials_sql(body):
+    one = " UNION ALL ".join(
+        f"SELECT {i} AS trial, '{c}' AS feature, {LABEL} AS y, {c} AS s FROM imp WHERE split = 'val'" for i, c in enumerate(_TRIAL_FEATURES))
+    return _pipe_sql(body, (
+        f"long AS ({one}), ranks AS (SELECT trial, feature, y, rank() OVER (PARTITION BY trial ORDER BY s) "
+        "+ (count(*) OVER (PARTITION BY trial, s) - 1) / 2.0 AS r FROM long), "
+        "trials AS (SELECT trial, feature, round((sum(CASE WHEN y = 1 THEN r END) - "
+        "count_if(y = 1) * (count_if(y = 1) + 1) / 2.0) / (count_if(y = 1) * count_if(y = 0)), 6) AS val_auc "
+        "FROM ranks GROUP BY 1, 2)"))
 
 
 @query("search_convergence")
 def q_search_convergence(spark, sf_dir):
-    return MD.search_convergence(q_hyper_search(spark, sf_dir))
+    return MD.search_convergence(_feature_trials(spark, sf_dir))
+
+
+oracle("search_convergence", _trials_sql("SELECT trial, val_auc, max(val_auc) OVER (ORDER BY trial) AS best_so_far FROM trials"))
 
 
 @query("best_trial")
 def q_best_trial(spark, sf_dir):
-    return MD.best_trial(q_hyper_search(spark, sf_dir))
+    return MD.best_trial(_feature_trials(spark, sf_dir))
+
+
+oracle("best_trial", _trials_sql("SELECT * FROM trials ORDER BY val_auc DESC, trial LIMIT 1"))
 
 
 def _calibrated(spark, sf_dir):
@@ -283,7 +349,7 @@ def q_model_importance(spark, sf_dir):
 @query("model_save_load")
 def q_model_save_load(spark, sf_dir):
     rm, _, te = _calibrated(spark, sf_dir)
-    path = scratch_path(spark, "model_" + hashlib.md5(sf_dir.encode()).hexdigest()[:8])
+    path = scratch_path(spark, "model_" + input_key(spark, sf_dir))
     rm.save(path)
     back = MD.RiskModel.load(path, rm.features)
     a = rm.predict_proba(te).select(KEY, F.col("score").alias("a"))
@@ -322,11 +388,13 @@ def q_before_after(spark, sf_dir):
 
 @query("evaluate_standalone")
 def q_evaluate_standalone(spark, sf_dir):
-    """Reload a saved model and evaluate the test split."""
+    """Evaluate a stored model on the test split: only what lies in its folder is used
+    (the trees are fitted and stored once per application and input, not here)."""
     from riskloom.operators.metrics import headline_metrics
-    rm, _, te = _calibrated(spark, sf_dir)
-    path = scratch_path(spark, "eval_" + hashlib.md5(sf_dir.encode()).hexdigest()[:8])
-    rm.save(path)
-    back = MD.RiskModel.load(path, rm.features)
-    s = back.predict_proba(te).select(F.col(LABEL).alias("label"), "score")
+    k = "stored_" + input_key(spark, sf_dir, sorted(C.GBT_DEFAULTS.items()))
+    if k not in _MADE:
+        _calibrated(spark, sf_dir)[0].save(scratch_path(spark, k))
+        _MADE[k] = scratch_path(spark, k)
+    _, _, te, names = _splits(spark, sf_dir)
+    s = MD.RiskModel.load(_MADE[k], names).predict_proba(te).select(F.col(LABEL).alias("label"), "score")
     return headline_metrics(s)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from riskloom import config as C
 from riskloom.plans.oracle import oracle
 from riskloom.plans.registry import query
 from riskloom.plans.sqlparts import tier_sql, with_plog
-from riskloom.session import scratch_path
+from riskloom.session import scratch_path, written
 from riskloom.sources.encounters import prediction_log
 from riskloom.streaming import monitor as MON
 
@@ -146,66 +146,184 @@ def _psi_sql():
 oracle("psi_drift", _psi_sql())
 
 
-# ---- scoring (rows-only) -----------------------------------------------------------------
-def _risk_model(spark, sf_dir):
-    from riskloom.plans.q_model import _calibrated
-    rm, sv, te = _calibrated(spark, sf_dir)
-    return rm, te
-
-
+# ---- scoring -------------------------------------------------------------------------------
 @query("score_batch")
 def q_score_batch(spark, sf_dir):
-    """Score, tier, top factors, base rate and version for a batch of rows."""
+    """Score, tier, top factors, base rate and version for a batch of rows: the whole
+    population.  Score, factors and base rate come from one score function, so a
+    row's ``expected`` (mean over its background draws) plus its factors is its score."""
     from riskloom.operators import explain as X
     from riskloom.operators.strata import assign_tier, fixed_thresholds
-    from riskloom.plans.q_model import _splits
-    rm, te = _risk_model(spark, sf_dir)
-    tr, _, _, names = _splits(spark, sf_dir)
-    batch = te.cache()                  # the whole test split is the request batch
-    if batch.limit(1).count() == 0:
+    from riskloom.plans.q_model import _calibrated, _splits, prepared
+    rm, _, _ = _calibrated(spark, sf_dir)
+    batch, names = prepared(spark, sf_dir)
+    tr, _, _, _ = _splits(spark, sf_dir)
+    if batch.isEmpty():
         raise ValueError("empty batch")
-    scored = rm.predict_proba(batch)
-    gbt = rm.model.stages[-1]
-    from pyspark.ml.functions import vector_to_array
-    bg = X.hash_rank_sample(tr, KEY, 100).cache()
-    attr = X.shapley_sampling(batch, bg, KEY, names,
-                              lambda d: gbt.transform(d).withColumn("score", vector_to_array("probability")[1]),
-                              draws=2)
+    bg = X.hash_rank_sample(tr, KEY).cache()
+    attr = written(X.shapley_sampling(batch, bg, KEY, names, rm.score_vectors, draws=SHAP_DRAWS), "attribution")
     factors = X.factors_struct(X.local_explanation(attr, KEY), KEY)
-    base = X.base_rate(lambda d: rm.predict_proba(d), bg)
-    out = assign_tier(scored, fixed_thresholds(), "score", "risk_tier").join(factors, KEY, "left")
+    total = attr.groupBy(KEY).agg(F.sum("phi").alias("_phi"))
+    base = X.base_rate(rm.predict_proba, bg)
+    out = assign_tier(rm.predict_proba(batch), fixed_thresholds(), "score", "risk_tier").join(total, KEY, "left").join(factors, KEY, "left")
     return out.select(F.concat(F.lit("batch_"), F.col(KEY).cast("string")).alias("patient_id"),
-                      F.round("score", 4).alias("risk_score"), "risk_tier",
-                      F.lit(round(base, 4)).alias("base_rate"), "top_factors",
+                      F.round("score", 4).alias("risk_score"), "risk_tier", F.lit(round(base, 4)).alias("base_rate"),
+                      F.round(F.col("score") - F.col("_phi"), 4).alias("expected"), "top_factors",
                       F.lit("1.0.0").alias("model_version"))
 
 
+SHAP_DRAWS = 8
+
+
+# Requests as they come in: every field as text, some of them wrong by the key.
+_FAULTS = (("age_numeric", 17, "'abc'"), ("time_in_hospital", 19, "'45'"), ("high_utilizer", 23, "'0.7'"),
+           ("total_prior_visits", 29, "NULL"), ("num_procedures", 31, "'-1'"), ("gender", 37, "''"))
+
+
+def requests(rows):
+    """``rows`` (key and fields) as request texts with the faults planted."""
+    fault = {f: (n, v) for f, n, v in _FAULTS}
+    out = []
+    for c in rows.columns:
+        v = F.col(c).cast("string")
+        if c in fault:
+            v = F.when(F.col(KEY) % fault[c][0] == 0, F.expr(fault[c][1]).cast("string")).otherwise(v)
+        out.append(F.col(c) if c == KEY else v.alias(c))
+    return rows.select(*out)
+
+
+@query("request_rejects")
+def q_request_rejects(spark, sf_dir):
+    """Accepted and rejected requests with the reasons (schema check of request texts)."""
+    from riskloom.operators.quality import REQUEST_FIELDS, row_constraints
+    from riskloom.plans.common import featured
+    rows = featured(spark, sf_dir)
+    names = [f[0] for f in REQUEST_FIELDS if f[0] in rows.columns]
+    checked = row_constraints(requests(rows.select(KEY, *names)))
+    reason = F.explode(F.when(F.size("violations") == 0, F.array(F.lit("accepted"))).otherwise(F.concat(F.array(F.lit("rejected")), F.col("violations"))))
+    return checked.select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rejects_sql():
+    from riskloom.operators.quality import REQUEST_FIELDS
+    from riskloom.plans.sqlparts import with_features
+    fault = {f: (n, v) for f, n, v in _FAULTS}
+    texts, items = [KEY], []
+    for name, typ, required, ge, le, default in REQUEST_FIELDS:
+        t = f"CAST({name} AS VARCHAR)"
+        if name in fault:
+            t = f"CASE WHEN {KEY} % {fault[name][0]} = 0 THEN {fault[name][1]} ELSE {t} END"
+        texts.append(f"{t} AS {name}")
+        if typ != "string":
+            d = f"TRY_CAST({name} AS DOUBLE)"
+            v = f"CASE WHEN {d} = floor({d}) THEN {d} END" if typ == "int" else d
+            items.append(f"CASE WHEN {name} IS NOT NULL AND ({v}) IS NULL THEN '{name}:type' END")
+            if ge is not None:
+                items.append(f"CASE WHEN ({v}) < {ge} THEN '{name}:ge' END")
+            if le is not None:
+                items.append(f"CASE WHEN ({v}) > {le} THEN '{name}:le' END")
+        if required:
+            items.append(f"CASE WHEN {name} IS NULL THEN '{name}:missing' END")
+    return with_features(
+        "SELECT unnest(CASE WHEN len(v) = 0 THEN ['accepted'] ELSE list_concat(['rejected'], v) END) AS reason, count(*) AS n FROM chk GROUP BY 1",
+        f"req AS (SELECT {', '.join(texts)} FROM feat), chk AS (SELECT list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) AS v FROM req)")
+
+
+oracle("request_rejects", _rejects_sql())
+
+
+def _model_requests(spark, sf_dir):
+    """The population's model inputs as request texts, and the model."""
+    from riskloom.plans.q_model import _calibrated, prepared
+    rm, _, _ = _calibrated(spark, sf_dir)
+    d, names = prepared(spark, sf_dir)
+    return requests(d.select(KEY, *names)), rm
+
+
 @query("score_lenient")
 def q_score_lenient(spark, sf_dir):
-    """Score without validation: absent or NULL features count as 0.0."""
-    rm, te = _risk_model(spark, sf_dir)
-    filled = te.select(KEY, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in rm.features])
+    """Score requests without validation: a field that is absent (here the last one),
+    NULL or no number counts as 0.0."""
+    reqs, rm = _model_requests(spark, sf_dir)
+    reqs = reqs.drop(rm.features[-1])
+    filled = reqs.select(KEY, *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) if c in reqs.columns
+                                else F.lit(0.0).alias(c) for c in rm.features])
     return rm.predict_proba(filled).select(KEY, F.round("score", 6).alias("score"))
 
 
 @query("score_stream")
 def q_score_stream(spark, sf_dir):
-    """Structured Streaming scoring of request files with a reject stream; returns the
-    scored output read back after the available input has been processed."""
+    """Structured Streaming scoring of request files: valid rows with their score,
+    rejected rows with a NULL score and their violations, read back after the
+    available input has been processed.  Every call is a run of its own."""
     from riskloom.streaming.jobs import run_scoring
-    rm, te = _risk_model(spark, sf_dir)
-    tag = hashlib.md5((spark.sparkContext.applicationId + sf_dir).encode()).hexdigest()[:10]
-    base = scratch_path(spark, f"stream_{tag}")
+    reqs, rm = _model_requests(spark, sf_dir)
+    run = uuid.uuid4().hex
+    base = scratch_path(spark, f"stream_{run}")
     src = os.path.join(base, "requests")
-    reqs = te.select(KEY, *rm.features)
-    reqs.write.mode("overwrite").parquet(src)
+    reqs.write.parquet(src)
 
     def score_batch(valid):
-        cols = [F.col(n) if n in valid.columns else F.lit(0.0).alias(n) for n in rm.features]
-        v = valid.select(KEY, *[x.cast("double") for x in cols])
-        return rm.predict_proba(v.na.fill(0.0)).select(KEY, F.round("score", 6).alias("score"))
+        cols = [F.col(n).cast("double").alias(n) if n in valid.columns else F.lit(0.0).alias(n) for n in rm.features]
+        return rm.predict_proba(valid.select(KEY, *cols).na.fill(0.0)).select(KEY, F.round("score", 6).alias("score"))
 
     q = run_scoring(spark, src, reqs.schema, score_batch, os.path.join(base, "out"),
-                    os.path.join(base, "rejects"), name=f"scoring_{tag}")
+                    os.path.join(base, "rejects"), name=f"scoring_{run}")
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "out"))
+    none = F.lit(None)
+    good = spark.read.parquet(os.path.join(base, "out")).select(KEY, "score", none.cast("array<string>").alias("violations"))
+    return good.unionByName(spark.read.parquet(os.path.join(base, "rejects")).select(KEY, none.cast("double").alias("score"), "violations"))
+
+
+# ---- the monitors as streams ---------------------------------------------------------------
+def _stream_run(spark, sf_dir):
+    from riskloom.sources.tables import table_path
+    base = scratch_path(spark, f"monitor_{uuid.uuid4().hex}")
+    return table_path(sf_dir, "events"), base
+
+
+def _register_streams():
+    from riskloom.plans.oracle import ORACLE
+    from riskloom.streaming import jobs as J
+
+    def windowed(monitor, batch_name):
+        def fn(spark, sf_dir):
+            src, base = _stream_run(spark, sf_dir)
+            J.run_windowed(spark, monitor, _stream_source(spark, src, base), os.path.join(base, "out")).awaitTermination()
+            return spark.read.parquet(os.path.join(base, "out"))
+        fn.__doc__ = f"``{batch_name}`` as a stream run to the end of its input: its closed windows."
+        query(f"{batch_name}_stream")(fn)
+        body = ORACLE[batch_name]
+        oracle(f"{batch_name}_stream", "SELECT * FROM (" + body + ") q WHERE window_start + INTERVAL 5 MINUTE <= "
+               "(SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 10 MINUTE FROM events)")
+
+    for m, b in (("latency", "latency_p95_p99"), ("score_buckets", "score_buckets"), ("error_rate", "error_rate")):
+        windowed(m, b)
+
+    @query("tier_totals_stream")
+    def q_tier_totals_stream(spark, sf_dir):
+        """Running tier totals as a stream with a durable table per batch; the newest."""
+        src, base = _stream_run(spark, sf_dir)
+        J.run_tier_totals(spark, _stream_source(spark, src, base), os.path.join(base, "out")).awaitTermination()
+        return J.latest(spark, os.path.join(base, "out"))
+
+    oracle("tier_totals_stream", ORACLE["tier_totals"])
+
+    @query("batch_size_hist_stream")
+    def q_batch_size_stream(spark, sf_dir):
+        """Batch-size histogram of streamed running counts."""
+        src, base = _stream_run(spark, sf_dir)
+        J.run_batch_sizes(spark, _stream_source(spark, src, base), os.path.join(base, "out")).awaitTermination()
+        return MON.size_hist(J.latest(spark, os.path.join(base, "out")))
+
+    oracle("batch_size_hist_stream", ORACLE["batch_size_hist"])
+
+
+def _stream_source(spark, src, base):
+    """A file stream reads folders: the events as a folder of their own."""
+    out = os.path.join(base, "events")
+    spark.read.parquet(src).write.parquet(out)
+    return out
+
+
+_register_streams()

@@ -32,12 +32,6 @@ def sink_json_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") ->
         .write.mode(mode).json(path)
 
 
-def metrics_as_json_object(metrics: DataFrame) -> DataFrame:
-    """One-row ``{metric: value}`` JSON document (the flat metrics file form)."""
-    return metrics.agg(F.to_json(F.map_from_entries(F.collect_list(
-        F.struct("metric", F.round("value", 6))))).alias("json"))
-
-
 def read_json_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("metric string, value double").json(path)
 

@@ -53,12 +53,43 @@ def run_tier_rate(spark: SparkSession, src: str, out: str, name: str = "tier_rat
     return q
 
 
-def run_tier_totals(spark: SparkSession, src: str, query_name: str = "tier_totals"):
-    """Running totals per tier (stateful, complete mode) into a memory table."""
-    log = prediction_log_stream(spark, src)
-    agg = MON.tier_totals(log)
-    return agg.writeStream.outputMode("complete").format("memory").queryName(query_name) \
-        .option("checkpointLocation", _ckpt(spark, query_name, src)).trigger(availableNow=True).start()
+WINDOWED = {"latency": MON.latency_quantiles, "score_buckets": MON.score_buckets, "error_rate": MON.error_rate}
+
+
+def run_windowed(spark: SparkSession, monitor: str, src: str, out: str, watermark: str = WATERMARK):
+    """A sliding-window monitor (a key of ``WINDOWED``), append mode, parquet sink: a
+    window is written once the watermark has passed its end."""
+    log = prediction_log_stream(spark, src).withWatermark("ts", watermark)
+    return WINDOWED[monitor](log).writeStream.outputMode("append").format("parquet").option("path", out) \
+        .option("checkpointLocation", _ckpt(spark, monitor, src)).trigger(availableNow=True).start()
+
+
+def run_totals(spark: SparkSession, agg: DataFrame, out: str, name: str, src: str):
+    """Running totals (complete mode), each batch's whole result replacing the last as a
+    table ``out/batch=N``; ``latest`` reads the newest."""
+    def handle(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    return agg.writeStream.outputMode("complete").foreachBatch(handle) \
+        .option("checkpointLocation", _ckpt(spark, name, src)).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest result of a running total."""
+    every = spark.read.parquet(out)
+    last = every.agg(F.max("batch").alias("b")).first()["b"]
+    return every.where(F.col("batch") == last).drop("batch")
+
+
+def run_tier_totals(spark: SparkSession, src: str, out: str, name: str = "tier_totals"):
+    """Running totals per tier."""
+    return run_totals(spark, MON.tier_totals(prediction_log_stream(spark, src)), out, name, src)
+
+
+def run_batch_sizes(spark: SparkSession, src: str, out: str, name: str = "batch_sizes"):
+    """Running row counts per batch id; the histogram is taken of the newest counts
+    (``MON.size_hist``)."""
+    return run_totals(spark, MON.batch_sizes(prediction_log_stream(spark, src)), out, name, src)
 
 
 def run_scoring(spark: SparkSession, src: str, schema, score_batch, out: str, rejects: str,

@@ -60,21 +60,34 @@ def histogram_quantile(q: float, bounds, prefix: str = "le_") -> Column:
     return F.when(total > 0, expr)
 
 
-def latency_quantiles(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                      bounds=C.LATENCY_BUCKETS) -> DataFrame:
+def sliding(log: DataFrame, keys, counts: list[Column], minutes: int = 5) -> DataFrame:
+    """Counts per window of ``minutes`` minutes, sliding by one minute, and ``keys``;
+    windows are ``w.start, w.end``.
+
+    In batch, rows are counted per minute first and only these counts are copied to
+    the windows that hold the minute.  On a stream the window function assigns rows
+    directly (one stateful step)."""
+    if log.isStreaming:
+        return log.groupBy(F.window("ts", f"{minutes} minutes", "1 minute").alias("w"), *keys).agg(*counts)
+    per = log.groupBy(F.date_trunc("minute", "ts").alias("_m"), *keys).agg(*counts)
+    own = per.columns[1 + len(keys):]
+    starts = F.sequence(F.col("_m") - F.expr(f"interval {minutes - 1} minutes"), F.col("_m"), F.expr("interval 1 minute"))
+    w = F.struct(F.col("_s").alias("start"), (F.col("_s") + F.expr(f"interval {minutes} minutes")).alias("end"))
+    return (per.withColumn("_s", F.explode(starts)).withColumn("w", w)
+            .groupBy("w", *keys).agg(*[F.sum(c).alias(c) for c in own]))
+
+
+def latency_quantiles(log: DataFrame, bounds=C.LATENCY_BUCKETS) -> DataFrame:
     """P95/P99 latency in ms per endpoint over sliding windows, from bucket counts."""
-    g = log.groupBy(F.window("ts", window, slide).alias("w"), "endpoint") \
-        .agg(*bucket_counts(F.col("latency_s"), bounds))
+    g = sliding(log, ["endpoint"], bucket_counts(F.col("latency_s"), bounds))
     return g.select(F.col("w.start").alias("window_start"), "endpoint",
                     F.round(histogram_quantile(0.95, bounds) * 1000, 6).alias("p95_ms"),
                     F.round(histogram_quantile(0.99, bounds) * 1000, 6).alias("p99_ms"))
 
 
-def score_buckets(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                  bounds=C.SCORE_BUCKETS, seconds: int = 300) -> DataFrame:
+def score_buckets(log: DataFrame, bounds=C.SCORE_BUCKETS, seconds: int = 300) -> DataFrame:
     """Per-second rate of cumulative score buckets (``le``) over sliding windows."""
-    g = log.groupBy(F.window("ts", window, slide).alias("w")) \
-        .agg(*bucket_counts(F.col("risk_score"), bounds))
+    g = sliding(log, [], bucket_counts(F.col("risk_score"), bounds))
     les = list(bounds) + [float("inf")]
     s = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"),
                                      F.round(F.col(f"le_{i}") / seconds, 6).alias("per_second"))
@@ -83,19 +96,25 @@ def score_buckets(log: DataFrame, window: str = "5 minutes", slide: str = "1 min
         .select("window_start", "x.le", "x.per_second")
 
 
-def error_rate(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-               seconds: int = 300) -> DataFrame:
+def error_rate(log: DataFrame, seconds: int = 300) -> DataFrame:
     """Errors per second by type over sliding windows (type = endpoint of the error)."""
-    e = log.where(F.col("is_error"))
-    g = e.groupBy(F.window("ts", window, slide).alias("w"), F.col("endpoint").alias("error_type")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    # counted, not filtered, below: on a stream all events move the watermark
+    e = log.withColumn("error_type", F.col("endpoint"))
+    g = sliding(e, ["error_type"], [F.count_if("is_error").alias("n")]).where("n > 0")
     return g.select(F.col("w.start").alias("window_start"), "error_type", "n",
                     F.round(F.col("n") / seconds, 6).alias("per_second"))
 
 
+def batch_sizes(log: DataFrame) -> DataFrame:
+    return log.groupBy("batch_id").agg(F.count(F.lit(1)).alias("size"))
+
+
 def batch_size_hist(log: DataFrame, bounds=C.BATCH_SIZE_BUCKETS) -> DataFrame:
     """Cumulative histogram of batch sizes (rows per batch id)."""
-    sizes = log.groupBy("batch_id").agg(F.count(F.lit(1)).alias("size"))
+    return size_hist(batch_sizes(log), bounds)
+
+
+def size_hist(sizes: DataFrame, bounds=C.BATCH_SIZE_BUCKETS) -> DataFrame:
     a = sizes.agg(*bucket_counts(F.col("size"), bounds))
     les = list(bounds) + [float("inf")]
     s = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"le_{i}").alias("count"))
@@ -111,19 +130,23 @@ def psi(baseline: DataFrame, current: DataFrame, features, bins: int = 10, eps:
     number of edges strictly below the value (right-closed bins, open ends).
     PSI = Σ (a − e) · ln(a / e) with proportions floored at eps.
     """
-    from riskloom.functions.cumulative import exact_quantiles
+    from riskloom.functions.cumulative import grouped_exact_quantiles
     from riskloom.functions.exprs import linspace
     probs = linspace(0.0, 1.0, bins + 1)[1:-1]
-    parts = []
+
+    def unpivoted(df, side):
+        s = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))
+        return df.select(s.alias("x")).select("x.*", F.lit(side).alias("side")).where(F.col("value").isNotNull())
+
+    # whatever the number of features: the baseline is read for its edges, then each side once
+    base = unpivoted(baseline, "expected")
+    q = grouped_exact_quantiles(base, "value", ["feature"], probs)
+    b = F.lit(0)
     for c in features:
-        edges = sorted(set(e for e in exact_quantiles(baseline.select(c), c, probs) if e is not None))
-        b = sum((F.col(c) > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
-        for name, df in (("expected", baseline), ("actual", current)):
-            parts.append(df.where(F.col(c).isNotNull())
-                         .select(F.lit(c).alias("feature"), F.lit(name).alias("side"), b.alias("bin")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+        edges = sorted(set(q.get((c,), [])))
+        at = sum((F.col("value") > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
+        b = F.when(F.col("feature") == c, at).otherwise(b)
+    long = base.unionByName(unpivoted(current, "actual")).select("feature", "side", b.alias("bin"))
     cnt = long.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("n"))
     pv = cnt.groupBy("feature", "bin").pivot("side", ["expected", "actual"]).agg(F.first("n")) \
         .na.fill(0, ["expected", "actual"])

@@ -3,9 +3,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskloom import config as C
 from riskloom.operators import explain as X
 from riskloom.operators import model as MD
 
@@ -69,12 +71,36 @@ def test_shapley_additivity(spark):
 def test_hyper_search_and_convergence(spark):
     d = _data(spark, 300)
     tr, va = d.where(F.col("k") % 5 != 0), d.where(F.col("k") % 5 == 0)
-    trials = MD.hyper_search(tr, va, ["a", "b", "c"], "y", n_trials=2, n_estimators_cap=3, depth_cap=3)
-    assert trials.count() == 2
+    space = dict(C.SEARCH_SPACE, n_estimators=(2, 6), max_depth=(2, 4))
+    trials = MD.hyper_search(tr, va, ["a", "b", "c"], "y", n_trials=3, space=space).cache()
+    rows = trials.collect()
+    assert len(rows) == 3 and len({r["n_estimators"] for r in rows}) > 1 and len({r["val_auc"] for r in rows}) > 1
     conv = MD.search_convergence(trials).toPandas().sort_values("trial")
     assert conv["best_so_far"].is_monotonic_increasing
     best = MD.best_trial(trials).first()
-    assert best["val_auc"] == conv["val_auc"].max()
+    assert best["val_auc"] == conv["val_auc"].max() > 0.6
+    assert best["n_nodes"] > best["n_estimators"]            # the trees split
+    with pytest.raises(ValueError):
+        MD.fit_gbt(tr, ["a"], "y", dict(max_depth=31))
+
+
+def test_best_trial_takes_the_first_of_equals(spark):
+    t = spark.createDataFrame([(0, 1.0, 0.5), (1, 2.0, 0.7), (2, 3.0, 0.7)], "trial int, p double, val_auc double")
+    assert tuple(MD.best_trial(t).first()) == (1, 2.0, 0.7)
+
+
+def test_score_batch_adds_up(spark):
+    """Score = expected value over the row's draws + its factors, by the one calibrated score function."""
+    d = _data(spark, 200)
+    feats = ["a", "b", "c"]
+    m = MD.fit_gbt(d, feats, "y", dict(n_estimators=4, max_depth=3))
+    rm = MD.RiskModel(m, feats, MD.fit_isotonic(MD.score(m, d), "y"))
+    bg = X.hash_rank_sample(d, "k", 1)                  # one background row: every draw starts from it
+    phi = X.shapley_sampling(d.limit(10), bg, "k", feats, rm.score_vectors, draws=2)
+    base = X.base_rate(rm.predict_proba, bg)
+    fx = {r["k"]: r["score"] for r in rm.predict_proba(d).collect()}
+    got = phi.groupBy("k").agg(F.sum("phi").alias("s")).collect()
+    assert len(got) == 10 and all(abs(base + r["s"] - fx[r["k"]]) < 1e-9 for r in got)
 
 
 def test_save_load_roundtrip(spark):

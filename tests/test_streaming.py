@@ -56,9 +56,9 @@ def test_tier_totals_complete_mode(spark):
     t0 = dt.datetime(2024, 1, 2)
     rows = [(i, t0 + dt.timedelta(seconds=i), i % 3, "view", float(i % 100), None) for i in range(300)]
     _events(spark, rows, src)
-    q = J.run_tier_totals(spark, src, query_name="tt_test")
-    q.awaitTermination()
-    got = {r["tier"]: r["total"] for r in spark.sql("SELECT * FROM tt_test").collect()}
+    out = os.path.join(base, "totals")
+    J.run_tier_totals(spark, src, out, name="tt_test").awaitTermination()
+    got = {r["tier"]: r["total"] for r in J.latest(spark, out).collect()}
     exp = {}
     for r in rows:
         s = min(r[4], 100.0) / 100.0
