@@ -120,7 +120,7 @@ oracle("rank_mutual_info", _pipe_sql("SELECT feature, round(mi_score, 6) AS mi_s
 def _sql_rankings():
     src = "imp WHERE split = 'train'"
     corr = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, coalesce(abs(corr({c}, cast({LABEL} AS DOUBLE))), 0) AS score FROM {src}"
+        f"SELECT '{c}' AS feature, CASE WHEN isfinite(corr({c}, cast({LABEL} AS DOUBLE))) THEN abs(corr({c}, cast({LABEL} AS DOUBLE))) ELSE 0 END AS score FROM {src}"
         for c in PIPE_NUMS)
     smd = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, coalesce(abs(avg(CASE WHEN {LABEL} = 1 THEN {c} END) - "
