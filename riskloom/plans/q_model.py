@@ -229,15 +229,22 @@ def _fit_small(spark, sf_dir):
     return fitted(spark, sf_dir), tr, va, te, names
 
 
+def gbt_settings(spark) -> dict:
+    """The configured settings; ``spark.riskloom.trees`` sets another tree count (tests do)."""
+    trees = spark.conf.get("spark.riskloom.trees", None)
+    return dict(C.GBT_DEFAULTS, **({"n_estimators": int(trees)} if trees else {}))
+
+
 def fitted(spark, sf_dir):
     """The boosted trees of the configured settings, fitted once per application and
     input, stored and loaded by every query that needs them."""
-    k = "gbt_" + input_key(spark, sf_dir, sorted(C.GBT_DEFAULTS.items()))
+    settings = gbt_settings(spark)
+    k = "gbt_" + input_key(spark, sf_dir, sorted(settings.items()))
     if k not in _MADE:
         tr, _, _, names = _splits(spark, sf_dir)
         tr = tr.cache()
         path = scratch_path(spark, k)
-        MD.fit_gbt(tr, names, LABEL).write().overwrite().save(path)
+        MD.fit_gbt(tr, names, LABEL, settings).write().overwrite().save(path)
         tr.unpersist()
         _MADE[k] = path
     return PipelineModel.load(_MADE[k])
@@ -252,7 +259,7 @@ def q_fit_gbt(spark, sf_dir):
 @query("fit_gbt_early_stop")
 def q_fit_gbt_es(spark, sf_dir):
     tr, va, _, names = _splits(spark, sf_dir)
-    m = MD.fit_gbt(tr.cache(), names, LABEL, val=va.cache())
+    m = MD.fit_gbt(tr.cache(), names, LABEL, gbt_settings(spark), val=va.cache())
     tr.unpersist()
     va.unpersist()
     n_trees = len(m.stages[-1].trees)
@@ -391,7 +398,7 @@ def q_evaluate_standalone(spark, sf_dir):
     """Evaluate a stored model on the test split: only what lies in its folder is used
     (the trees are fitted and stored once per application and input, not here)."""
     from riskloom.operators.metrics import headline_metrics
-    k = "stored_" + input_key(spark, sf_dir, sorted(C.GBT_DEFAULTS.items()))
+    k = "stored_" + input_key(spark, sf_dir, sorted(gbt_settings(spark).items()))
     if k not in _MADE:
         _calibrated(spark, sf_dir)[0].save(scratch_path(spark, k))
         _MADE[k] = scratch_path(spark, k)

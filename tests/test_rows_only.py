@@ -13,7 +13,9 @@ from tests.conftest import SF001
 @pytest.fixture(scope="module")
 def q(spark):
     qs = E.queries()
-    return lambda name: qs[name](spark, SF001)
+    spark.conf.set("spark.riskloom.trees", "12")
+    yield lambda name: qs[name](spark, SF001)
+    spark.conf.unset("spark.riskloom.trees")
 
 
 def test_rankings(q):
@@ -28,7 +30,7 @@ def test_rankings(q):
 
 def test_model_queries(q):
     es = q("fit_gbt_early_stop").toPandas()
-    assert es["n_trees"].iloc[0] <= C.GBT_DEFAULTS["n_estimators"] and es["raw_score"].between(0, 1).all()
+    assert es["n_trees"].iloc[0] <= 12 and es["raw_score"].between(0, 1).all()
     lb = q("fit_logistic_baseline").toPandas().set_index("metric")
     assert 0 <= lb.loc["val_auc", "value"] <= 1
     cal = q("calibrate_isotonic").toPandas().sort_values("raw_score")
