@@ -96,7 +96,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, c
     """Links ``a, b`` between the distinct fingerprints ``fp`` that give the same components as all links."""
     keyed = written(distinct.select("fp", F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("k"))
                     .select("fp", "k.*"), "blocks")
-    sizes = keyed.groupBy("tag", "parts").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = written(keyed.groupBy("tag", "parts").agg(F.count("*").alias("n")).filter("n > 1"), "block-sizes")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = (keyed.join(sizes, ["tag", "parts"])
            .withColumn("chunks", chunks)

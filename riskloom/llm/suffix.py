@@ -205,7 +205,7 @@ def settle_by_digest(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     wins = written(runs.mapInPandas(digests, "h bigint, c bigint, k bigint, row bigint, lo int, off int, d bigint, e bigint"), "windows")
     place = F.struct("k", "row", (F.col("lo") + F.col("off")).alias("at"))
-    firsts = wins.groupBy("d", "e").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    firsts = written(wins.groupBy("d", "e").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "firsts")
     hits = wins.withColumn("place", place).join(firsts, ["d", "e"]).groupBy("h", "c").agg(
         F.sort_array(F.collect_list("off")).alias("other"),
         F.sort_array(F.collect_list(F.when(F.col("place") != F.col("first"), F.col("off")))).alias("earlier"))
@@ -238,7 +238,8 @@ def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_
     """``k, row, cuts``: for texts of ``docs(k, row, text)`` that lose bytes, the
     maximal removed runs as (start, end) byte positions, ends exclusive."""
     every = written(window_runs(docs, depth), "runs")
-    shared = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # tables of their own on the right of the joins below, so that a hot key's rows can be split over tasks
+    shared = written(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
     every = written(every.join(shared, "h"), "shared-runs")
     distinct = written(every.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "row", "lo", "hi")).alias("rep"))
                        .select("h", "c", "n", "rep.*"), "distinct-runs")
@@ -261,8 +262,8 @@ def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_
     if not data.filter(F.col("m") > runs_limit).isEmpty():
         settled = settled.union(settle_by_digest(data.filter(F.col("m") > runs_limit), depth))
     settled = written(settled, "settled")
-    known = distinct.join(settled, ["h", "c"], "left").select(
-        "h", "c", "n", F.col("k").alias("k0"), F.col("row").alias("row0"), F.col("lo").alias("lo0"), "earlier", "other")
+    known = written(distinct.join(settled, ["h", "c"], "left").select(
+        "h", "c", "n", F.col("k").alias("k0"), F.col("row").alias("row0"), F.col("lo").alias("lo0"), "earlier", "other"), "known")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b")))
     if keep == "none":
         windows = F.when(F.col("n") > 1, whole).otherwise(F.col("other"))
