@@ -70,6 +70,11 @@ ALPHABETS = ("0123456789", _span(97, 122), _span(65, 90), "àáâãäåæçèé
              _span(0x30A1, 0x30FA), _span(0x4E00, 0x51FF), _span(0xAC00, 0xADFF))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def digest(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     inner = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, attempt.cast("string"), canon), 256)
     return F.sha2(F.concat(F.lit(key), inner), 256)
@@ -86,13 +91,12 @@ def places(text: Column) -> Column:
 
 def same_format(text: Column, dig: Column, salt: int = 0) -> Column:
     """Each digit or letter replaced within its alphabet, all else kept."""
-    def one(i):
-        ch = F.substring(text, i, F.lit(1))
+    def one(ch, i):
         out = ch
-        for a in ALPHABETS:
+        for a in reversed(ALPHABETS):
             out = F.when(F.call_function("instr", F.lit(a), ch) > 0, F.substring(F.lit(a), draw(dig, i + salt, len(a)) + 1, F.lit(1))).otherwise(out)
         return out
-    return F.array_join(F.transform(places(text), one), "")
+    return let(text, lambda t: F.array_join(F.transform(F.transform(places(t), lambda i: F.substring(t, i, F.lit(1))), one), ""))
 
 
 def digits_of(text: Column) -> Column:
@@ -101,23 +105,25 @@ def digits_of(text: Column) -> Column:
 
 def refill(text: Column, digits: Column) -> Column:
     """``text`` with its digits taken in order from ``digits``."""
-    def step(acc, i):
-        ch = F.substring(text, i, F.lit(1))
-        is_digit = ch.between("0", "9")
-        return F.struct(F.when(is_digit, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                        F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["n"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
-    return F.aggregate(places(text), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda a: a["out"])
+    def filled(d):
+        def step(acc, i):
+            ch = F.substring(text, i, F.lit(1))
+            is_digit = ch.between("0", "9")
+            return F.struct(F.when(is_digit, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+                            F.concat(acc["out"], F.when(is_digit, F.substring(d, acc["n"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
+        return F.aggregate(places(text), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda a: a["out"])
+    return let(digits, filled)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum, the last digit's place counted as undoubled."""
-    n = F.char_length(digits)
-
-    def step(acc, i):
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = F.pmod(n - i, F.lit(2)) == 1
-        return acc + F.when(twice & (d > 4), 2 * d - 9).when(twice, 2 * d).otherwise(d)
-    return F.aggregate(places(digits), F.lit(0), step)
+    def summed(t):
+        def step(acc, i):
+            d = F.substring(t, i, F.lit(1)).cast("int")
+            twice = F.pmod(F.char_length(t) - i, F.lit(2)) == 1
+            return acc + F.when(twice & (d > 4), 2 * d - 9).when(twice, 2 * d).otherwise(d)
+        return F.aggregate(places(t), F.lit(0), step)
+    return let(digits, summed)
 
 
 def keyed_digits(n: Column, dig: Column) -> Column:
@@ -144,7 +150,10 @@ def units(kind: Column, value: Column) -> Column:
 
 def unit_surrogate(kind: Column, text: Column, canon: Column, attempt: Column, key: str) -> Column:
     """Surrogate of one unit as written in ``text``."""
-    dig = digest(key, kind, canon, attempt)
+    return let(digest(key, kind, canon, attempt), lambda dig: _unit(kind, text, canon, attempt, dig))
+
+
+def _unit(kind: Column, text: Column, canon: Column, attempt: Column, dig: Column) -> Column:
     wide = attempt >= WIDE_AFTER
     n = F.char_length(canon)
 
@@ -156,19 +165,19 @@ def unit_surrogate(kind: Column, text: Column, canon: Column, attempt: Column, k
     email = F.concat(same_format(F.substring(text, F.lit(1), at - 1), dig), F.when(wide, draw(dig, -3, 100_000).cast("string")).otherwise(F.lit("")),
                      F.lit("@"), same_format(host, dig, 1000), F.when(host != "", F.lit(".")).otherwise(F.lit("")), tail)
 
-    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), keyed_digits(n - 2, dig))
-    check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
     valid = F.pmod(luhn_sum(canon), F.lit(10)) == 0
-    card = F.concat(body, F.when(valid, check).otherwise(F.pmod(check + 1 + draw(dig, -1, 9), F.lit(10))).cast("string"))
+    shift = F.when(valid, F.lit(0)).otherwise(1 + draw(dig, -1, 9))         # off the right check digit as the entity's is
+    card = let(F.concat(F.substring(canon, F.lit(1), F.lit(1)), keyed_digits(n - 2, dig)), lambda body: F.concat(
+        body, F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)) + shift, F.lit(10)).cast("string")))
 
     ssn = F.concat((F.lit(100) + draw(dig, -1, 565)).cast("string"), F.lpad((F.lit(1) + draw(dig, -2, 99)).cast("string"), 2, "0"),
                    F.lpad((F.lit(1) + draw(dig, -3, 9999)).cast("string"), 4, "0"))
 
     code = F.when(text.startswith("+"), F.char_length(F.regexp_extract(text, r"^\+(\d{1,3})(?!\d)", 1))).otherwise(0)
-    rest = keyed_digits(n - code, dig)
-    rest = F.concat((F.lit(2) + draw(dig, -1, 8)).cast("string"), F.substring(rest, F.lit(2), n))
     fictional = F.substring(canon, code + 4, F.lit(3)) == "555"      # such an exchange stays one
-    rest = F.when(fictional & ~wide, F.concat(F.substring(rest, F.lit(1), F.lit(3)), F.lit("555"), F.substring(rest, F.lit(7), n))).otherwise(rest)
+    first = F.concat((F.lit(2) + draw(dig, -1, 8)).cast("string"), keyed_digits(n - code - 1, dig))
+    rest = let(first, lambda r: F.when(fictional & ~wide, F.concat(
+        F.substring(r, F.lit(1), F.lit(3)), F.lit("555"), F.substring(r, F.lit(7), n))).otherwise(r))
     phone = F.concat(F.substring(canon, F.lit(1), code), rest)
 
     octets = F.split(text, r"\.")
