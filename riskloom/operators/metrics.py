@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom import config as C
 from riskloom.functions.cumulative import exact_quantiles, prefix_sums
 from riskloom.functions.exprs import left_closed_bin, linspace
+from riskloom.session import written
 
 EPS64 = 2.220446049250313e-16   # float64 machine epsilon (log-loss clip)
 
@@ -308,9 +309,18 @@ def ranking_metrics(scored: DataFrame, score="score", label="label") -> DataFram
                     F.round(F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")), 6).alias("average_precision"))
 
 
+def gate_metrics(scored: DataFrame, score="score", label="label") -> DataFrame:
+    """The three metrics that the quality gate reads."""
+    scored = written(scored.select(score, label), "scored")
+    return _long(ranking_metrics(scored, score, label), {"auc_roc": "auc_roc", "average_precision": "average_precision"}) \
+        .unionByName(_long(ece_mce(scored, score=score, label=label), {"ece": "ece"}))
+
+
 def headline_metrics(scored: DataFrame, score="score", label="label") -> DataFrame:
     """Long ``(metric, value)``: auc, ap, brier, log loss, ks, gini, ece, mce, best F1,
-    clinical utility — one row each (a union of single-row aggregates)."""
+    clinical utility — one row each (a union of single-row aggregates over one written
+    two-column table, so the scored input is derived once)."""
+    scored = written(scored.select(score, label), "scored")
     parts = [
         _long(ranking_metrics(scored, score, label),
               {"auc_roc": "auc_roc", "gini": F.round(2 * F.col("auc_roc") - 1, 6),

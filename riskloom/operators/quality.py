@@ -14,6 +14,7 @@ from riskloom import config as C
 from riskloom.functions.exprs import safe_corr
 from riskloom.functions import exprs as X
 
+PURE_ROWS = 100
 CHECK_SCHEMA = "check string, severity string, metric double, passed boolean"
 
 
@@ -111,14 +112,15 @@ def leakage_audit(df: DataFrame, target=C.TARGET_COL, label=None) -> DataFrame:
     """Columns other than the target whose name contains 'readmit' (case-insensitive).
 
     With ``label`` given, numeric columns are also screened by |corr(c, label)|
-    (one aggregation pass) and reported as ``leak_corr`` rows when ≥ 0.99.
+    (one aggregation pass, ≥ 0.99 counts), and text columns by value: values of at
+    least ``PURE_ROWS`` rows that all have one label count (a warning).
     """
     spark = df.sparkSession
     by_name = [c for c in df.columns if c != target and c != label and "readmit" in c.lower()]
     rows = [("leakage:name", "error", float(len(by_name)), len(by_name) == 0)]
     out = spark.createDataFrame(rows, CHECK_SCHEMA)
     if label is not None:
-        from riskloom.operators.cleaning import numeric_columns
+        from riskloom.operators.cleaning import numeric_columns, string_columns
         nums = numeric_columns(df, exclude=(label,))
         if nums:
             lab = F.col(label).cast("double")
@@ -128,6 +130,16 @@ def leakage_audit(df: DataFrame, target=C.TARGET_COL, label=None) -> DataFrame:
                                            F.lit("error").alias("severity"),
                                            n_hi.cast("double").alias("metric"),
                                            (n_hi == 0).alias("passed")))
+        texts = [c for c in string_columns(df) if c not in (target, label)]
+        if texts:
+            long = df.select(F.col(label).alias("_y"), F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts])).alias("x")) \
+                .select("_y", "x.*").where("value IS NOT NULL")
+            by_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+            pure = F.count_if((F.col("n") >= PURE_ROWS) & ((F.col("pos") == 0) | (F.col("pos") == F.col("n"))))
+            out = out.unionByName(by_value.agg(pure.alias("p")).select(
+                F.lit("leakage:purity").alias("check"), F.lit("warning").alias("severity"),
+                F.col("p").cast("double").alias("metric"), (F.col("p") == 0).alias("passed")))
     return out
 
 

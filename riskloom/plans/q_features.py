@@ -197,8 +197,9 @@ oracle("icd_category", with_encounter(
 
 @query("icd_lookup")
 def q_icd_lookup(spark, sf_dir):
-    """Distinct primary codes → category through a broadcast range join on the
-    fixed ICD lookup (16 ranges; the bound is the table itself)."""
+    """The category lookup (16 ranges, External and Other: 18 fixed rows) with the
+    number of primary codes in each, by a broadcast range join on the lookup (the
+    bound is the table itself)."""
     look = spark.createDataFrame([(lo, hi, n) for lo, hi, n in C.ICD_RANGES],
                                  "lo int, hi int, category string")
     codes = encounters(spark, sf_dir).select(X.sentinel_null("diag_1").alias("code")) \
@@ -212,12 +213,16 @@ def q_icd_lookup(spark, sf_dir):
                & ~F.col("_special"), "left")
     cat = F.when(F.col("code").isNull() | F.col("code").isin(*C.ICD_OTHER_TOKENS), "Other") \
         .when(F.col("_special"), "External").otherwise(F.coalesce("category", F.lit("Other")))
-    return j.groupBy(cat.alias("category")).agg(F.sum("n").alias("n"))
+    n = j.groupBy(cat.alias("category")).agg(F.sum("n").alias("n"))
+    every = look.unionByName(spark.createDataFrame([(None, None, "External"), (None, None, "Other")], look.schema))
+    return every.join(n, "category", "left").select("category", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 oracle("icd_lookup", with_encounter(
-    f"SELECT {icd_sql('code')} AS category, cast(sum(n) AS BIGINT) AS n FROM (SELECT nullif(diag_1, '?') AS code, "
-    f"count(*) AS n FROM encounter GROUP BY 1) c GROUP BY 1"))
+    "SELECT l.category, l.lo, l.hi, coalesce(c.n, 0) AS n FROM (VALUES "
+    + ", ".join(f"('{n}', {lo}, {hi})" for lo, hi, n in C.ICD_RANGES) + ", ('External', NULL, NULL), ('Other', NULL, NULL)"
+    + f") l(category, lo, hi) LEFT JOIN (SELECT {icd_sql('code')} AS category, cast(sum(n) AS BIGINT) AS n FROM "
+    "(SELECT nullif(diag_1, '?') AS code, count(*) AS n FROM encounter GROUP BY 1) c GROUP BY 1) c USING (category)"))
 
 
 @query("feature_pipeline")

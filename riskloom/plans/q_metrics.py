@@ -299,7 +299,7 @@ def q_metrics_report(spark, sf_dir):
 
 @query("quality_gate")
 def q_quality_gate(spark, sf_dir):
-    return quality_gate(spark, M.headline_metrics(_sc(spark, sf_dir)))
+    return quality_gate(spark, M.gate_metrics(_sc(spark, sf_dir)))
 
 
 _REPORT_SQL = f"""

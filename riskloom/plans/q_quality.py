@@ -120,7 +120,10 @@ _HI_CORR = " + ".join(
 oracle("dq_leakage", with_encounter(
     "SELECT 'leakage:name' AS \"check\", 'error' AS severity, 0.0e0 AS metric, true AS passed "
     "UNION ALL SELECT 'leakage:corr', 'error', cast(" + _HI_CORR + " AS DOUBLE), (" + _HI_CORR
-    + ") = 0 FROM sentinel", SENTINEL_CTE))
+    + ") = 0 FROM sentinel "
+    "UNION ALL SELECT 'leakage:purity', 'warning', cast(count(*) AS DOUBLE), count(*) = 0 FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, {c} AS v FROM sentinel WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= {Q.PURE_ROWS} "
+        "AND sum(readmitted_30d) IN (0, count(*))" for c in ENC_STRING_COLS if c != C.TARGET_COL) + ") p", SENTINEL_CTE))
 
 
 @query("dq_report")
