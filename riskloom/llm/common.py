@@ -31,6 +31,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def long_text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers in batches of ``rows`` rows, which bounds what
+    a worker and the JVM hold of them at a time.  A session that has set a batch size
+    of its own (other than Spark's 10000) keeps it."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def int_array(values, kind: str = "int") -> Column:
     """A constant array column (folded by the optimiser); entries may be null."""
     if not len(values):

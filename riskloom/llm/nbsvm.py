@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import nearest_ids, texts
+from riskloom.llm.common import long_text_batches, nearest_ids, texts
 
 DIMS = 1 << 18
 FIT_ROWS = 3000
@@ -61,7 +61,7 @@ def shape_of(word: str) -> int:
 class Words(dict):
     """Word -> shape << 32 | hash of the lower-cased word; emptied at ``bound`` entries."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
@@ -156,6 +156,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS):
     """Model from the labelled rows that are not held out: (weights, slope, offset), weights None for a constant score."""
+    long_text_batches(docs.sparkSession)
     agreed = (labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
               .groupBy("doc_id").agg(F.min(label_col).alias("lo"), F.max(label_col).alias("y"))
               .filter("lo = y").select("doc_id", (F.col("y") > 0).alias("y")))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import long_text_batches, written
 
 CAPACITY = 2048
 WASTE = 1 / 64
@@ -77,6 +77,8 @@ def tokenizer() -> Tokens:
 def cut_documents(docs: DataFrame, capacity: int = CAPACITY, waste: float = WASTE,
                   make_tokens=tokenizer) -> DataFrame:
     """Pieces of every document of ``docs(doc_id, text)``, its closing id in the last one."""
+    long_text_batches(docs.sparkSession)
+
     def run(batches):
         tokens = make_tokens()
         for pdf in batches:

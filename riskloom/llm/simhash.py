@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import hex16, texts, written
+from riskloom.llm.common import hex16, long_text_batches, texts, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -52,6 +52,8 @@ def simhash(data: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, row, fp`` (signed long) for every row of ``docs(doc_id, row, text)``."""
+    long_text_batches(docs.sparkSession)
+
     def run(batches):
         for pdf in batches:
             fps = [simhash(t.encode(), shingle) for t in pdf["text"]]

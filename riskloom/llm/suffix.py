@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import long_text_batches, written
 
 DEPTH = 200
 GRAM = 32
 RUNS = 1000
 PIECE = 1 << 19
-BUNDLE = 100_000
+BUNDLE = 50_000
 BITS = 1 << 24
 _PLACE = np.uint64(20)
 _RUNS = "k bigint, row bigint, h bigint, c bigint, lo int, hi int"
@@ -237,6 +237,7 @@ def maybe_in(keys: DataFrame):
 def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_limit: int = RUNS) -> DataFrame:
     """``k, row, cuts``: for texts of ``docs(k, row, text)`` that lose bytes, the
     maximal removed runs as (start, end) byte positions, ends exclusive."""
+    long_text_batches(docs.sparkSession)
     every = written(window_runs(docs, depth), "runs")
     # tables of their own on the right of the joins below, so that a hot key's rows can be split over tasks
     shared = written(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
