@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -42,6 +43,18 @@ def long_text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the machine: workers live on from
+    task to task, and their allocators would keep it."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:      # a C library without it
+        pass
+
+
 def int_array(values, kind: str = "int") -> Column:
     """A constant array column (folded by the optimiser); entries may be null."""
     if not len(values):

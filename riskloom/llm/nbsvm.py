@@ -21,13 +21,14 @@ with no label).  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_text_batches, nearest_ids, texts
+from riskloom.llm.common import long_text_batches, nearest_ids, release_memory, texts
 
 DIMS = 1 << 18
 FIT_ROWS = 3000
@@ -61,7 +62,7 @@ def shape_of(word: str) -> int:
 class Words(dict):
     """Word -> shape << 32 | hash of the lower-cased word; emptied at ``bound`` entries."""
 
-    def __init__(self, bound: int = 150_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
@@ -194,12 +195,16 @@ def score_udf(model):
     weights, a, b = model
 
     @F.pandas_udf("double")
-    def score(texts_: pd.Series) -> pd.Series:
-        if weights is None:
-            return pd.Series(np.full(len(texts_), b))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words()
-        got = np.array([margin(weights, features(t, words)) for t in texts_])
-        return pd.Series(1 / (1 + np.exp(-np.clip(a * got + b, -500, 500))))
+        for batch in batches:
+            if weights is None:
+                yield pd.Series(np.full(len(batch), b))
+                continue
+            got = np.array([margin(weights, features(t, words)) for t in batch])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(a * got + b, -500, 500))))
+        del words
+        release_memory()
 
     return score
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_text_batches, written
+from riskloom.llm.common import long_text_batches, release_memory, written
 
 CAPACITY = 2048
 WASTE = 1 / 64
@@ -69,7 +69,9 @@ class Tokens:
         return self.bpe.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
 
 
+@functools.lru_cache(maxsize=1)
 def tokenizer() -> Tokens:
+    """A worker's tokenizer, kept from task to task."""
     import public_tokenizers as P
     return Tokens(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256})
 
@@ -91,6 +93,7 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, waste: float = WAST
                     at += length
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "m"])
             yield out.astype({"doc_id": "Int64"})
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, PIECES)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import hex16, long_text_batches, texts, written
+from riskloom.llm.common import hex16, long_text_batches, release_memory, texts, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for pdf in batches:
             fps = [simhash(t.encode(), shingle) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "fp": np.array(fps, np.int64)})
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), "row", "text").mapInPandas(run, "doc_id bigint, row string, fp bigint")
 

@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_text_batches, written
+from riskloom.llm.common import long_text_batches, release_memory, written
 
 DEPTH = 200
 GRAM = 32
 RUNS = 1000
-PIECE = 1 << 19
-BUNDLE = 50_000
+PIECE = 1 << 17
+BUNDLE = 30_000
 BITS = 1 << 24
 _PLACE = np.uint64(20)
 _RUNS = "k bigint, row bigint, h bigint, c bigint, lo int, hi int"
@@ -110,6 +110,7 @@ def window_runs(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     out.append(v)
             if cols[0]:
                 yield pd.DataFrame({n: np.concatenate(v) for n, v in zip(("k", "row", "h", "c", "lo", "hi"), cols)})
+        release_memory()
 
     return docs.select("k", "row", "text").mapInPandas(run, _RUNS)
 
@@ -187,6 +188,8 @@ def settle(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 n += int(part["data"].map(len).sum()) - len(part) * (depth - 1)
         if held:
             yield bundle(pd.concat(held))
+        del held
+        release_memory()
 
     return runs.repartition("h").sortWithinPartitions("h").mapInPandas(run, _SETTLED)
 
@@ -254,6 +257,7 @@ def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_
                     for k, row, text, runs in zip(pdf["k"], pdf["row"], pdf["text"], pdf["runs"])
                     for data in [text.encode()] for r in runs]
             yield pd.DataFrame(rows, columns=["h", "c", "m", "k", "row", "lo", "data"])
+        release_memory()
 
     some = docs.select("k", "row", "text").filter(maybe_in(mixed)(key_bit()))
     data = (some.join(wanted, ["k", "row"]).mapInPandas(
