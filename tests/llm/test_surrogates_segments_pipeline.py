@@ -201,6 +201,61 @@ def test_segmentation_query(spark, tmp_path, vocab):
         assert all(sp.decode(x[2].tolist()) == (t or "") for x in alone)
 
 
+def raw_pieces():
+    """Every piece of the vocabulary as the library lists it: string -> (id, weight); and the weight of a byte."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=segment.model_path())
+    score = [sp.get_score(i) for i in range(sp.get_piece_size())]
+    worst = 1 + max(-x for x in score if x > -1e8)
+    return {sp.id_to_piece(i): (i, -np.log(2 + min(-score[i], worst))) for i in range(len(score))
+            if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}, -np.log(2 + worst)
+
+
+def raw_ways(text, pieces, byte):
+    """Log mass of all segmentations of the raw text, and their pieces at every place."""
+    text = "▁" + text.replace(" ", "▁")
+    steps = []
+    for at in range(len(text)):
+        own = [(at + n, *pieces[text[at:at + n]]) for n in range(1, 17) if at + n <= len(text) and text[at:at + n] in pieces]
+        if text[at] not in pieces:
+            own.append((at + 1, None, byte * len(text[at].encode())))
+        steps.append(own)
+    mass = [0.0] * (len(text) + 1)
+    for at in range(len(text) - 1, -1, -1):
+        mass[at] = np.logaddexp.reduce([w + mass[end] for end, _, w in steps[at]])
+    return mass[0], steps
+
+
+def test_lattice_of_the_raw_text(vocab):
+    """No border inside a text takes a piece away: runs of spaces, long words, text without spaces."""
+    pieces, byte = raw_pieces()
+    by_id = {i: w for i, w in pieces.values()}
+    lat = segment.Lattice(vocab)
+    z, steps = raw_ways("a    b ", pieces, byte)
+
+    def every(at):
+        return [()] if at == len(steps) else [(i, *rest) for end, i, _ in steps[at] for rest in every(end)]
+    want = set(every(0))
+    rows = list(segment.segmentations(lat, [1], ["a    b "], len(want) + 5))
+    assert {tuple(r[2].tolist()) for r in rows} == want and len(rows) == len(want)
+    assert {pieces["▁▁"][0], pieces["▁▁▁▁"][0]} <= {i for ids in want for i in ids}
+    rng = np.random.default_rng(3)
+    base64 = "".join(rng.choice(list("ABCDEFabcdefxyz0189+/"), 700))
+    for i, text in enumerate(["x" * 5000, base64, "https://www.example.com/" + "international/" * 40, "日本語の文章です。" * 60,
+                              "word\nother\n" * 50, " " * 300 + "end", "x" * 62 + "the" + "y" * 62, "one two"]):
+        z, _ = raw_ways(text, pieces, byte)
+        for _, _, ids, log_prob, _, _ in segment.segmentations(lat, [i], [text], 2):
+            assert segment.decode(vocab, ids) == text.encode()
+            assert abs(log_prob - (sum(by_id.get(x, byte) for x in ids.tolist()) - z)) < 2e-3 * (1 + len(ids) ** 0.5)
+
+
+def test_long_words_are_taken_apart_across_blocks(vocab, monkeypatch):
+    text = "▁" + "international/日本.com\n" * 40
+    want = segment.parts_of(vocab, [text])
+    monkeypatch.setattr(segment, "BLOCK", 7)
+    assert segment.parts_of(vocab, [text, text[3:]])[text] == want[text] and "".join(want[text]) == text and len(want[text]) > 80
+
+
 # ---- pipeline
 
 def trimmed(text, keep_mask):
