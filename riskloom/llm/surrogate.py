@@ -8,6 +8,12 @@ addresses have valid octets of the same lengths, given names keep the gender tha
 the title shows.  An entity is keyed by its canonical form, so its mentions agree
 over all texts and spellings (coreference).
 
+A name runs over all capitalised words, initials and particles behind its titles.
+Each word is a unit of its own: the last one and those behind a particle are family
+names, the others given names; a word that is a family name once in a text is one in
+the whole text.  Where these words stand in the same text without a title, they are
+replaced alike.  Cards of other than 16 digits must pass the Luhn check.
+
 Collision checks run over the distinct entities of the whole input: where two
 entities have one surrogate, or a surrogate is itself an entity, all but the
 smallest are keyed again with the next attempt number, until none is left
@@ -31,18 +37,30 @@ WIDE_AFTER = 8          # attempts from here on may leave the entity's exact for
 KINDS = ("email", "card", "ssn", "phone", "ip", "name")
 
 _WORD = r"[\p{L}\p{N}._%+-]"
+# Titles, particles of names.
+_TITLES = (r"(?:(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora|Señor|Sra|Sr|г-жа|г-н"
+           r"|Dra|Dr|Doctor|Doktor|Professorin|Professor|Prof)\.? )+")
+PARTICLES = ("af", "al", "av", "bin", "da", "dal", "de", "degli", "del", "dela", "della", "den", "der", "des", "di", "do", "dos", "das", "du", "e", "el",
+             "ibn", "la", "las", "le", "los", "san", "ten", "ter", "van", "vom", "von", "y", "zu", "zum", "zur")
+_PARTS = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_NAME = rf"(?!{_TITLES})\p{{Lu}}(?:\.|(?:[\p{{L}}\p{{M}}]|['’-](?!s(?!\p{{L}}))\p{{L}})+)"
 # One pattern a kind, in the order in which they are tried at a place.
 PATTERNS = {
     "email": rf"(?<!{_WORD}){_WORD}++@(?:[\p{{L}}\p{{N}}-]+\.)+\p{{L}}{{2,}}",
-    "card": r"(?<![\p{L}\p{N}+])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}+])(?:\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{3}){3}"
+            r"|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,3}|\d{6}[ -]\d{13}|\d{13,19})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}+-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?![\p{L}\p{N}])"
-             r"|(?<![\p{L}\p{N}+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
+             r"|(?<![\p{L}\p{N}+])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
+             r"|(?<![\p{L}\p{N}+.])(?!\d\d[./-]\d\d[./-]\d{4})(?=\(?\d(?:[ ./()-]{0,2}\d){8,14}(?![\p{L}\p{N}]))"    # trunk or exit zeros
+             r"(?:\(0\d{1,4}\)[ -]?|0\d{1,4}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![\p{L}\p{N}])"
+             r"|(?<![\p{L}\p{N}+.])0\d{9,10}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\p{L}\p{N}]|\.\d)",
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora|Señor|Sra|Sr|г-жа|г-н)\.? "
-            r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_PARTS}{_NAME}(?: {_PARTS}{_NAME})*",
 }
-FEMALE = r"^(Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа)\b"
+FEMALE = r"^(Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Dra|г-жа)\b"
+NEUTRAL = r"^(?:(?:Dr|Doctor|Doktor|Professor|Prof)\.? )+(?!Mr|Herr|Frau|Monsieur|M[sml]|Señor|Sr)"
+NAMED = ("family", "given-f", "given-m", "given-n")
 GIVEN = {       # fixed values: given names by script and gender
     ("latin", "f"): "Ada Alma Berta Carla Clara Diana Edith Elena Emma Flora Greta Hanna Helen Ida Irene Julia Karin Laura Lena Lucy "
                     "Maria Marta Mila Nadia Nina Nora Olga Paula Petra Rita Rosa Ruth Sara Silvia Sofia Tania Vera Viola Wanda Zoe",
@@ -139,13 +157,36 @@ def pick(words: str, dig: Column, at: int) -> Column:
     return F.element_at(F.split(F.lit(words), " "), draw(dig, at, len(w)) + 1)
 
 
-def units(kind: Column, value: Column) -> Column:
-    """What is keyed on its own in a mention: ``(kind, canon)``; a name has one unit for each of its words."""
-    words = F.slice(F.split(value, " "), 2, F.lit(9))
-    given = F.when(value.rlike(FEMALE), F.lit("given-f")).otherwise(F.lit("given-m"))
-    name = F.transform(words, lambda w, i: F.struct(F.when(i + 1 < F.size(words), given).otherwise(F.lit("family")).alias("kind"), F.lower(w).alias("canon")))
+def title_of(value: Column) -> Column:
+    return F.regexp_extract(value, f"^{_TITLES}", 0)
+
+
+def name_words(value: Column) -> Column:
+    return F.split(F.regexp_replace(value, f"^{_TITLES}", ""), " ")
+
+
+def name_units(value: Column) -> Column:
+    """``(kind, canon)`` of each word of a name; kind ``initial`` or ``particle`` for what is no unit."""
+    given = F.when(value.rlike(FEMALE), F.lit("given-f")).when(value.rlike(NEUTRAL), F.lit("given-n")).otherwise(F.lit("given-m"))
+
+    def named(words):
+        def kind(w, i):
+            last = i + 1 == F.size(words)
+            behind = F.exists(F.slice(words, 1, i), lambda x: F.lower(x).isin(*PARTICLES))
+            return (F.when(w.endswith("."), F.lit("initial")).when(~last & F.lower(w).isin(*PARTICLES), F.lit("particle"))
+                    .when(last | behind, F.lit("family")).otherwise(given))
+        return F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), F.lower(w).alias("canon")))
+    return let(name_words(value), named)
+
+
+def units(kind: Column, value: Column, names: Column) -> Column:
+    """What is keyed on its own in a mention: ``(kind, canon)``; a name has one unit for each of its
+    words, of the kind that ``names``, the sorted ``(canon, kind)`` of its text, first has for it."""
+    def known(u):
+        own = F.get(F.filter(names, lambda n: n["canon"] == u["canon"]), F.lit(0))
+        return F.struct(F.when(u["kind"] == "particle", u["kind"]).otherwise(F.coalesce(own["kind"], u["kind"])).alias("kind"), u["canon"].alias("canon"))
     canon = F.when(kind.isin("card", "ssn", "phone"), digits_of(value)).otherwise(F.lower(value))
-    return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
+    return F.when(kind == "name", F.transform(name_units(value), known)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
 def unit_surrogate(kind: Column, text: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -173,7 +214,7 @@ def _unit(kind: Column, text: Column, canon: Column, attempt: Column, dig: Colum
     ssn = F.concat((F.lit(100) + draw(dig, -1, 565)).cast("string"), F.lpad((F.lit(1) + draw(dig, -2, 99)).cast("string"), 2, "0"),
                    F.lpad((F.lit(1) + draw(dig, -3, 9999)).cast("string"), 4, "0"))
 
-    code = F.when(text.startswith("+"), F.char_length(F.regexp_extract(text, r"^\+(\d{1,3})(?!\d)", 1))).otherwise(0)
+    code = F.char_length(digits_of(F.regexp_extract(text, r"^(?:\+\d{1,3}(?!\d)|\(?0{1,2}|1[ .-])", 0)))
     fictional = F.substring(canon, code + 4, F.lit(3)) == "555"      # such an exchange stays one
     first = F.concat((F.lit(2) + draw(dig, -1, 8)).cast("string"), keyed_digits(n - code - 1, dig))
     rest = let(first, lambda r: F.when(fictional & ~wide, F.concat(
@@ -187,15 +228,17 @@ def _unit(kind: Column, text: Column, canon: Column, attempt: Column, dig: Colum
 
     script = script_of(text)
     out = F.when(kind == "email", email).when(kind == "card", refill(text, card)).when(kind == "ssn", refill(text, ssn)) \
-        .when(kind == "phone", refill(text, phone)).when(kind == "ip", ip)
+        .when(kind == "phone", refill(text, phone)).when(kind == "ip", ip) \
+        .when(kind == "initial", same_format(text, dig)).when(kind.isin("particle", "plain"), text)
     name = F.lit(None).cast("string")
     for s in ("cyrillic", "latin"):
         more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.element_at(
             F.split(F.lit(STEMS[s][1]), " "), draw(dig, i + 50, len(STEMS[s][1].split())) + 1)), "")
         family = F.concat(pick(STEMS[s][0], dig, 1), more, pick(STEMS[s][2], dig, 3))
-        given = F.when(kind == "given-f", pick(GIVEN[s, "f"], dig, 1)).otherwise(pick(GIVEN[s, "m"], dig, 1))
-        given = F.when(attempt > 0, F.concat(given, F.lit("-"), F.when(kind == "given-f", pick(GIVEN[s, "f"], dig, 2)).otherwise(pick(GIVEN[s, "m"], dig, 2)),
-                                             F.when(wide, F.concat(F.lit("-"), pick(GIVEN[s, "f"], dig, 3))).otherwise(F.lit("")))).otherwise(given)
+        one = lambda at, s=s: F.when(kind == "given-f", pick(GIVEN[s, "f"], dig, at)).when(
+            kind == "given-n", pick(GIVEN[s, "f"] + " " + GIVEN[s, "m"], dig, at)).otherwise(pick(GIVEN[s, "m"], dig, at))
+        given = F.when(attempt > 0, F.concat(one(1), F.lit("-"), one(2), F.when(
+            wide, F.concat(F.lit("-"), pick(GIVEN[s, "f"], dig, 3), more)).otherwise(F.lit("")))).otherwise(one(1))
         full = F.when(kind == "family", family).otherwise(given)
         name = F.when(script == s, full).otherwise(name)
     name = F.when((F.char_length(text) > 1) & (F.upper(text) == text), F.upper(name)).otherwise(name)
@@ -211,11 +254,28 @@ def kind_of(value: Column) -> Column:
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_gaps`` and ``_hits``: the text between entities, and the entities (``kind, value``)."""
+    """``docs`` with ``_gaps`` and ``_hits``: the text between entities, and the entities (``kind, value``);
+    and ``_names``, the sorted units ``(canon, kind)`` of the titled names, whose words also are entities alone."""
     pattern = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
     df = docs.withColumn("_found", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)))
-    return (df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", pattern, -1)))
-            .withColumn("_hits", F.transform("_found", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))).drop("_found"))
+    titled = F.filter("_found", lambda v: v.rlike(f"^{PATTERNS['name']}$"))
+    df = df.withColumn("_names", F.array_sort(F.array_distinct(F.flatten(F.transform(titled, lambda v: F.transform(
+        F.filter(name_units(v), lambda u: u["kind"].isin(*NAMED)), lambda u: F.struct(u["canon"], u["kind"])))))))
+    # longer words before those that they begin with; matches are capitalised
+    words = F.array_join(F.sort_array(F.array_distinct(F.transform("_names", lambda n: n["canon"])), False), "|")
+    word = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+    alone = F.concat(F.lit(pattern + r"|(?<![\p{L}\p{N}])"), word, F.lit(f"(?: {_PARTS}"), word, F.lit(")*"))
+    some = F.size("_names") > 0
+    df = df.withColumn("_alone", F.when(some, alone))
+    df = df.withColumn("_found", F.when(some, F.regexp_extract_all("text", F.col("_alone"), F.lit(0))).otherwise(F.col("_found")))
+
+    def hit(v):
+        def kind(k):
+            n = F.char_length(digits_of(v))
+            return F.when((k == "card") & (n != 16) & (F.pmod(luhn_sum(digits_of(v)), F.lit(10)) != 0), F.lit("plain")).otherwise(k)
+        return F.struct(let(kind_of(v), kind).alias("kind"), v.alias("value"))
+    return (df.withColumn("_gaps", F.when(some, F.split("text", F.col("_alone"), -1)).when(F.size("_found") > 0, F.split("text", pattern, -1)))
+            .withColumn("_hits", F.transform("_found", hit)).drop("_found", "_alone"))
 
 
 def collision_free(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -241,11 +301,11 @@ def pseudonymised(docs: DataFrame, key: str = KEY, broadcast_rows: int = 20_000)
     """``docs`` with entities in ``text`` replaced, and ``_hits``, the mentions found."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     found = detected(docs.withColumn("_id", F.xxhash64("doc_id", "text")))
-    mentions = written(found.select("_id", F.explode("_hits").alias("h")).select("_id", F.explode(units(F.col("h.kind"), F.col("h.value"))).alias("u"),
-                                                                                F.col("h.value").alias("value"))
-                       .select("_id", "u.*", "value"), "mentions")
+    mentions = written(found.select("_id", "_names", F.explode("_hits").alias("h"))
+                       .select("_id", F.explode(units(F.col("h.kind"), F.col("h.value"), F.col("_names"))).alias("u"), F.col("h.value").alias("value"))
+                       .select("_id", "u.*", "value").filter(~F.col("kind").isin("initial", "particle", "plain")), "mentions")
     entities = (mentions.groupBy("kind", "canon").agg(F.min("value").alias("value"))
-                .withColumn("text", F.when(F.col("kind").isin("family", "given-f", "given-m"), F.initcap("canon")).otherwise(F.col("value"))).drop("value"))
+                .withColumn("text", F.when(F.col("kind").isin(*NAMED), F.initcap("canon")).otherwise(F.col("value"))).drop("value"))
     late = written(collision_free(entities, key).filter("attempt > 0"), "late")
     of_doc = written(mentions.join(late, ["kind", "canon"]).select("_id", F.struct(F.concat_ws("\u0001", "kind", "canon").alias("k"), "attempt").alias("e"))
                      .groupBy("_id").agg(F.map_from_entries(F.collect_set("e")).alias("_late")), "late-by-text")
@@ -255,10 +315,9 @@ def pseudonymised(docs: DataFrame, key: str = KEY, broadcast_rows: int = 20_000)
     late_of = lambda kind, canon: F.coalesce(F.element_at(F.col("_late"), F.concat_ws("\u0001", kind, canon)), F.lit(0))
 
     def written_as(h):
-        words = F.split(h["value"], " ")
-        parts = units(h["kind"], h["value"])
-        name = F.array_join(F.concat(F.slice(words, 1, F.lit(1)), F.zip_with(parts, F.slice(words, 2, F.lit(9)), lambda u, w: unit_surrogate(
-            u["kind"], w, u["canon"], late_of(u["kind"], u["canon"]), key))), " ")
+        parts = units(h["kind"], h["value"], F.col("_names"))
+        name = F.concat(title_of(h["value"]), F.array_join(F.zip_with(parts, name_words(h["value"]), lambda u, w: unit_surrogate(
+            u["kind"], w, u["canon"], late_of(u["kind"], u["canon"]), key)), " "))
         u = F.element_at(parts, 1)
         return F.when(h["kind"] == "name", name).otherwise(unit_surrogate(u["kind"], h["value"], u["canon"], late_of(u["kind"], u["canon"]), key))
 

@@ -59,6 +59,35 @@ def test_surrogates(spark, tmp_path):
     assert run(spark, 4, table(spark, [], tmp_path / "e")) == []
 
 
+WHOLE = [
+    (1, "Mr. John Paul Smith came. Later Smith said that JOHN and Smith's friend, a smith, left; mail Smith@mail1.example.com"),
+    (2, "Sra. Maria Lopez Garcia Ruiz, Sra. Lopez, Garcia Ruiz"),
+    (3, "Prof. Dr. Ludwig van der Berg and Dr. J. Watson met Berg. Ludwig van der Berg left Mr. Watson's house"),
+    (4, "Smith stays, as no title names Smith here"),
+    (5, "amex 3782 822463 10005 or 378282246310005, 4222222222222, 6304 0000 0000 0000 000; no card: 3782 822463 10006, 1234567890123"),
+    (6, "call 555 123 4567 or 1-555-123-4567, 0171 1234567, (030) 123 45 67, 01 42 68 53 00; on 01.02.2024 at 10 or 2024-01-02"),
+]
+
+
+def test_surrogates_of_whole_entities(spark, tmp_path):
+    got = {r["doc_id"]: r for r in run(spark, 4, table(spark, WHOLE, tmp_path))}
+    text = {i: r["text"] for i, r in got.items()}
+    m = re.fullmatch(r"Mr. (\S+) (\S+) (\S+) came. Later (\S+) said that (\S+) and (\S+)'s friend, a smith, left; mail (\S+)@(\S+)", text[1])
+    assert m[3] == m[4] == m[6] and m[5] == m[1].upper() and len({m[1], m[2], m[3], "John", "Paul", "Smith"}) == 6
+    m = re.fullmatch(r"Sra. (\S+) (\S+) (\S+) (\S+), Sra. (\S+), (\S+) (\S+)", text[2])
+    assert m[2] == m[5] and (m[3], m[4]) == (m[6], m[7])
+    assert not {"Maria", "Lopez", "Garcia", "Ruiz"} & set(m.groups()[1:]) and got[2]["n_name"] == 3
+    m = re.fullmatch(r"Prof. Dr. (\S+) van der (\S+) and Dr. ([A-Z])\. (\S+) met (\S+)\. (\S+) van der (\S+) left Mr. (\S+)'s house", text[3])
+    assert m[2] == m[5] == m[7] and m[1] == m[6] and m[4] == m[8] and not {"Ludwig", "Berg", "Watson"} & set(m.groups())
+    assert text[4] == WHOLE[3][1]
+    m = re.fullmatch(r"amex (3\d{3} \d{6} \d{5}) or (3\d{14}), (4\d{12}), (6\d{3}(?: \d{4}){3} \d{3}); no card: 3782 822463 10006, 1234567890123", text[5])
+    assert m[1].replace(" ", "") == m[2] and all(luhn(x.replace(" ", "")) % 10 == 0 for x in m.groups()) and got[5]["n_card"] == 4
+    assert not set(m.groups()) & set(re.split(r"amex | or |, |; ", WHOLE[4][1]))
+    m = re.fullmatch(r"call (\d{3} \d{3} \d{4}) or (1-\d{3}-\d{3}-\d{4}), (0\d{3} \d{7}), (\(0\d\d\) \d{3} \d\d \d\d), (0\d(?: \d\d){4}); "
+                     r"on 01.02.2024 at 10 or 2024-01-02", text[6])
+    assert all(x not in WHOLE[5][1] for x in m.groups()) and got[6]["n_phone"] == 5
+
+
 def test_surrogates_are_distinct_and_no_entity(spark, tmp_path):
     """Addresses of one-digit octets leave little room: collisions must occur and be resolved."""
     rows = [(i, f"host {a}.{b}.{c}.{d} end") for i, (a, b, c, d) in enumerate(
