@@ -6,7 +6,7 @@ import ctypes
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
@@ -70,3 +70,26 @@ def hex16(col) -> Column:
 def nearest_ids(df: DataFrame, cls: str, n: int) -> DataFrame:
     """The ``n`` rows of class column value ``cls`` that come first by hashed id."""
     return df.filter(cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def ordinals(df: DataFrame, groups: list[str], order: list, tag: str) -> DataFrame:
+    """``df`` with ``pos``, a row's place (from 0) among the rows of its ``groups`` values
+    in ``order``, and ``total``, their number.  Rows are sorted over ranges of (groups,
+    order), so a large group lies in many tasks; rows equal in all of ``order`` are told
+    apart by a number, so they can be split too.  A null is a value.  ``df`` must not
+    have columns ``pos``, ``total``, ``tie``, ``at`` or ``range``."""
+    keys = [F.col(g).asc_nulls_first() for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
+    tied = df.withColumn("tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(*keys, F.col("tie")).sortWithinPartitions(*keys, F.col("tie")).drop("tie")
+    kept = written(ranged.withColumn("at", F.monotonically_increasing_id())
+                   .withColumn("range", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))), tag)
+    per = kept.groupBy(*groups, "range").agg(F.min("at").alias("lo"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(*[F.col(g).alias(f"{g}_of") for g in groups], F.col("range").alias("range_of"),
+                     (before - F.col("lo")).alias("shift"), F.sum("n").over(whole).alias("total"))
+    per = written(per, f"{tag}-ranges")
+    same = kept["range"] == per["range_of"]
+    for g in groups:
+        same = same & kept[g].eqNullSafe(per[f"{g}_of"])
+    return kept.join(per, same).select(*df.columns, (F.col("at") + F.col("shift")).alias("pos"), "total")

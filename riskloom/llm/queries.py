@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import mtree, nbsvm, packing, secrets, segment, sharding, simhash, spotsigs, suffix, surrogate
+from riskloom.llm import divergence, manifest, mixing, mtree, nbsvm, packing, secrets, segment, sharding, simhash, spotsigs, suffix, surrogate
 from riskloom.llm.common import documents, hex16
 from riskloom.sources.tables import read_table
 
@@ -78,10 +78,24 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(read_table(spark, sf_dir, "documents", manifest.FIELDS))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents", ["lang", "source", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_spot_signatures, op3_simhash_near_dedup, op4_surrogates, op5_gumbel_segmentation,
     op6_virtual_slot_sharding, op7_mtree_search,
-    op8_suffix_dedup, op9_quality_classifier, op10_harmonic_packing)}
+    op8_suffix_dedup, op9_quality_classifier, op10_harmonic_packing, op11_pivotal_mixing,
+    op12_merkle_manifest, op13_divergence_audit)}
 ORACLES: dict[str, str] = {
     "op7_mtree_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
@@ -91,4 +105,76 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, lang, n_chars, text, row_number() OVER () AS rid,
+                list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(doc_id::VARCHAR) + 1),
+                        lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+                    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc
+            FROM documents),
+        f AS (
+            SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+            FROM d),
+        l AS (
+            SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed
+            FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        own AS (
+            SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY source
+            UNION ALL
+            SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], '')))
+            FROM own WHERE len(nodes) > 1),
+        subs AS (
+            SELECT source, nodes[1] AS subroot, level AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+            FROM own WHERE len(nodes) = 1),
+        over_ AS (
+            SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subs
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], '')))
+            FROM over_ WHERE len(nodes) > 1),
+        top AS (SELECT nodes[1] AS root, level AS depth FROM over_ WHERE len(nodes) = 1),
+        steps AS (
+            SELECT source, level, nodes FROM own WHERE len(nodes) > 1
+            UNION ALL
+            SELECT s.source, s.depth + o.level, o.nodes FROM subs s, over_ o WHERE len(o.nodes) > 1),
+        walk AS (
+            SELECT p.rid, p.source, 0 AS level, p.pos AS pos, p.changed AS digest, '' AS siblings, s.depth, s.pos AS sub_pos, s.depth + t.depth AS height
+            FROM p JOIN subs s ON s.source IS NOT DISTINCT FROM p.source, top t
+            UNION ALL
+            SELECT w.rid, w.source, w.level + 1, a.at // 3,
+                sha256(array_to_string(n.nodes[a.at - a.at % 3 + 1:a.at], '') || w.digest || array_to_string(n.nodes[a.at + 2:a.at - a.at % 3 + 3], '')),
+                w.siblings || array_to_string(n.nodes[a.at - a.at % 3 + 1:a.at], '') || array_to_string(n.nodes[a.at + 2:a.at - a.at % 3 + 3], ''),
+                w.depth, w.sub_pos, w.height
+            FROM walk w JOIN steps n ON n.source IS NOT DISTINCT FROM w.source AND n.level = w.level,
+                LATERAL (SELECT CASE WHEN w.level = w.depth THEN w.sub_pos ELSE w.pos END AS at) a
+            WHERE w.level < w.height)
+        SELECT p.doc_id, p.leaf, s.subroot, t.root, sha256(w.siblings) AS proof_sha256, w.digest AS folded_root, w.digest = t.root AS verified
+        FROM p JOIN subs s ON s.source IS NOT DISTINCT FROM p.source JOIN walk w ON w.rid = p.rid AND w.level = w.height, top t""",
+    "op13_divergence_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        tok AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+        c AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS c FROM tok t JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+        g AS (SELECT g.lang, g.source, coalesce(n.n, 0)::HUGEINT AS n, v.v FROM (SELECT DISTINCT lang, source FROM d) g
+              LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) n ON n.lang = g.lang AND n.source = g.source
+              LEFT JOIN v ON v.lang = g.lang),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (g.n + 2 * g.v) AS p
+              FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)::HUGEINT) // ((sum(sum(c)) OVER (PARTITION BY lang))::HUGEINT + 2 * any_value(v)) AS q
+              FROM c JOIN v USING (lang) GROUP BY lang, term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS f
+                    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+                ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        term AS (SELECT p.lang, p.source, p.term AS item, ((p.p - q.q) * (p.p - q.q)) // (p.p + q.q) AS value
+              FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+        u AS (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term),
+        r AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM u)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM r WHERE part = 'pair' OR k <= 10""",
 }
