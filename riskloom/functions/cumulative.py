@@ -197,3 +197,49 @@ def grouped_exact_quantiles(df: DataFrame, value_col: str, group_cols, probs: li
         out[grp] = [lerp(at[(grp, need[(grp, p)][1])], at[(grp, need[(grp, p)][2])],
                          need[(grp, p)][0] - need[(grp, p)][1]) for p in probs]
     return out
+
+
+def ranged(df: DataFrame, keys: list, tag: str) -> DataFrame:
+    """``df`` sorted by ``keys`` over ranges, written, with each row's ``range`` and place
+    ``at`` in it.  Rows with equal keys are told apart by a number, so a hot key lies in
+    several ranges."""
+    tied = df.withColumn("tie", F.monotonically_increasing_id())
+    rows = tied.repartitionByRange(*keys, F.col("tie")).sortWithinPartitions(*keys, F.col("tie")).drop("tie")
+    number = F.monotonically_increasing_id()
+    return written(rows.withColumn("at", number).withColumn("range", F.shiftright("at", 33))
+                   .withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))), tag)
+
+
+def _keys(groups, order) -> list:
+    return [F.col(g).asc_nulls_first() for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
+
+
+def _with_earlier(rows: DataFrame, groups: list, per: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``per``, a table by (groups, range); nulls are values."""
+    per = per.withColumnsRenamed({c: f"{c}_of" for c in [*groups, "range"]})
+    same = rows["range"] == per["range_of"]
+    for g in groups:
+        same = same & rows[g].eqNullSafe(per[f"{g}_of"])
+    return rows.join(per, same)
+
+
+def ordinals(df: DataFrame, groups: list, order: list, tag: str = "ordinals") -> DataFrame:
+    """``df`` with ``pos``, a row's place (from 0) among the rows of its ``groups`` values in
+    ``order``, and ``total``, their number; no task holds a whole group."""
+    rows = ranged(df, _keys(groups, order), tag)
+    whole = Window.partitionBy(*groups)
+    per = rows.groupBy(*groups, "range").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = written(per.select(*groups, "range", (before - F.col("lo")).alias("shift"), F.sum("n").over(whole).alias("total")), f"{tag}-ranges")
+    return _with_earlier(rows, groups, per).select(*df.columns, (F.col("at") + F.col("shift")).alias("pos"), "total")
+
+
+def sums_before(df: DataFrame, groups: list, order: list, value: str, out: str = "before", tag: str = "sums") -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` over the rows of its ``groups`` values that come
+    earlier in ``order`` (of equal ones, any order); no task holds a whole group."""
+    rows = ranged(df, _keys(groups, order), tag)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*groups, "range").agg(F.sum(value).alias("s"))
+    per = written(per.select(*groups, "range", F.coalesce(F.sum("s").over(earlier(Window.partitionBy(*groups).orderBy("range"))), F.lit(0)).alias("base")), f"{tag}-ranges")
+    own = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(*groups, "range").orderBy("at"))), F.lit(0))
+    return _with_earlier(rows.withColumn("own", own), groups, per).select(*df.columns, (F.col("own") + F.col("base")).alias(out))

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskloom import config as C
+from riskloom.operators import information as INF
 from riskloom.operators import model as MD
 from riskloom.operators import selection as SEL
 from riskloom.operators.metrics import _long, auc_table
@@ -108,13 +109,48 @@ def _mi_sql(src="imp WHERE split = 'train'", bins=20):
             + ") l GROUP BY 1, 2, 3) j) t GROUP BY feature)")
 
 
+def _psi_sql(n):
+    """The digamma series of ``information.digamma``."""
+    x, y = f"({n})::DOUBLE", f"(({n})::DOUBLE + {float(INF.SHIFT)})"
+    s = f"(1.0 / ({y} * {y}))"
+    back = " ".join(f"- 1.0 / ({x} + {float(i)})" for i in range(INF.SHIFT))
+    return f"(ln({y}) - 0.5 / {y} - {s} * (1 / 12.0 - {s} * (1 / 120.0 - {s} * (1 / 252.0 - {s} * (1 / 240.0)))) {back})"
+
+
+def _knn_sql(k=3):
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, {LABEL} AS y, CAST({c} AS DOUBLE) AS value FROM imp WHERE split = 'train'" for c in PIPE_NUMS)
+    near = ", ".join(f"list_transform(range(0, least(coalesce(n_{f}_{i}, 0), {k})), lambda j: abs(value - x_{f}_{i}))"
+                     for i in range(1, k + 1) for f in ("lag", "lead"))
+    steps = ", ".join(f"{f}(value, {i}) OVER w AS x_{f}_{i}, {f}(n, {i}) OVER w AS n_{f}_{i}" for i in range(1, k + 1) for f in ("lag", "lead"))
+    return (f"ml AS ({rows}), mn AS (SELECT feature, y, value, count(*) AS n FROM ml WHERE isfinite(value) GROUP BY 1, 2, 3), "
+            f"mw AS (SELECT *, sum(n) OVER (PARTITION BY feature, y) AS nc, {steps} FROM mn WINDOW w AS (PARTITION BY feature, y ORDER BY value)), "
+            f"mr AS (SELECT feature, y, value, n, nc, least({k}, nc - 1) AS kc, CASE WHEN n > least({k}, nc - 1) THEN 0.0 "
+            f"ELSE list_sort(flatten([{near}]))[CAST(least({k}, nc - 1) - n + 1 AS BIGINT)] END AS r FROM mw WHERE nc > 1), "
+            "mv AS (SELECT feature, value AS v, sum(n) AS nv FROM mr GROUP BY 1, 2), "
+            "mm AS (SELECT t.feature, t.y, t.value, t.n, t.nc, CASE WHEN t.r = 0 THEN t.n ELSE t.kc END AS kt, sum(nv) AS m FROM mr t JOIN mv "
+            "ON mv.feature = t.feature AND v >= t.value - t.r AND v <= t.value + t.r AND (t.r = 0 OR (v > t.value - t.r AND v < t.value + t.r)) "
+            "GROUP BY ALL), "
+            f"knn AS (SELECT feature, greatest(0, {_psi_sql('sum(n)')} + sum(n * ({_psi_sql('kt')} - {_psi_sql('nc')} - {_psi_sql('m')})) / sum(n)) "
+            "AS mi_score FROM mm GROUP BY feature)")
+
+
 @query("rank_mutual_info")
 def q_rank_mi(spark, sf_dir):
+    tr, _, _, names = _splits(spark, sf_dir)
+    return INF.neighbour_information(tr, names, LABEL).select("feature", F.round("mi_score", 6).alias("mi_score"))
+
+
+oracle("rank_mutual_info", _pipe_sql("SELECT feature, round(mi_score, 6) AS mi_score FROM knn", _knn_sql()))
+
+
+@query("rank_binned_info")
+def q_rank_binned(spark, sf_dir):
+    """The plug-in estimate over equal-width bins: one aggregation, for a quick look."""
     tr, _, _, names = _splits(spark, sf_dir)
     return SEL.mutual_info(tr, names, LABEL).select("feature", F.round("mi_score", 6).alias("mi_score"))
 
 
-oracle("rank_mutual_info", _pipe_sql("SELECT feature, round(mi_score, 6) AS mi_score FROM mi", _mi_sql()))
+oracle("rank_binned_info", _pipe_sql("SELECT feature, round(mi_score, 6) AS mi_score FROM mi", _mi_sql()))
 
 
 def _sql_rankings():
