@@ -11,6 +11,7 @@ from riskloom import config as C
 from riskloom.operators import information as INF
 from riskloom.operators import model as MD
 from riskloom.operators import selection as SEL
+from riskloom.operators import trees as TR
 from riskloom.operators.metrics import _long, auc_table
 from riskloom.plans.oracle import oracle
 from riskloom.plans.q_features import split_sql
@@ -271,9 +272,9 @@ def gbt_settings(spark) -> dict:
     return dict(C.GBT_DEFAULTS, **({"n_estimators": int(trees)} if trees else {}))
 
 
-def fitted(spark, sf_dir):
-    """The boosted trees of the configured settings, fitted once per application and
-    input, stored and loaded by every query that needs them."""
+def fitted_path(spark, sf_dir) -> str:
+    """Where the boosted trees of the configured settings are stored: fitted once per
+    application and input, loaded by every query that needs them."""
     settings = gbt_settings(spark)
     k = "gbt_" + input_key(spark, sf_dir, sorted(settings.items()))
     if k not in _MADE:
@@ -283,7 +284,16 @@ def fitted(spark, sf_dir):
         MD.fit_gbt(tr, names, LABEL, settings).write().overwrite().save(path)
         tr.unpersist()
         _MADE[k] = path
-    return PipelineModel.load(_MADE[k])
+    return _MADE[k]
+
+
+def fitted(spark, sf_dir):
+    return PipelineModel.load(fitted_path(spark, sf_dir))
+
+
+def fitted_nodes(spark, sf_dir):
+    """Its node table."""
+    return TR.node_table(spark, fitted_path(spark, sf_dir))
 
 
 @query("fit_gbt")
@@ -294,13 +304,13 @@ def q_fit_gbt(spark, sf_dir):
 
 @query("fit_gbt_early_stop")
 def q_fit_gbt_es(spark, sf_dir):
-    tr, va, _, names = _splits(spark, sf_dir)
-    m = MD.fit_gbt(tr.cache(), names, LABEL, gbt_settings(spark), val=va.cache())
-    tr.unpersist()
-    va.unpersist()
-    n_trees = len(m.stages[-1].trees)
-    return MD.score(m, va).select(KEY, F.round("raw_score", 6).alias("raw_score"),
-                                  F.lit(n_trees).alias("n_trees"))
+    """Validation scores of the trees up to the best round (patience of 50 rounds)."""
+    _, va, _, names = _splits(spark, sf_dir)
+    nodes = fitted_nodes(spark, sf_dir)
+    rounds, aucs = TR.early_stop(nodes, va, names, LABEL)
+    return TR.with_margin(va, names, TR.cut(nodes, rounds), [KEY]).select(
+        KEY, F.round("raw_score", 6).alias("raw_score"), F.lit(rounds).alias("n_trees"), F.lit(len(aucs)).alias("n_rounds"),
+        F.lit(round(max(aucs), 6) if aucs else None).cast("double").alias("best_auc"))
 
 
 @query("fit_logistic_baseline")

@@ -30,7 +30,8 @@ def test_rankings(q):
 
 def test_model_queries(q):
     es = q("fit_gbt_early_stop").toPandas()
-    assert es["n_trees"].iloc[0] <= 12 and es["raw_score"].between(0, 1).all()
+    assert 1 <= es["n_trees"].iloc[0] <= es["n_rounds"].iloc[0] <= 12 and es["raw_score"].between(0, 1).all()
+    assert 0 <= es["best_auc"].iloc[0] <= 1
     lb = q("fit_logistic_baseline").toPandas().set_index("metric")
     assert 0 <= lb.loc["val_auc", "value"] <= 1
     cal = q("calibrate_isotonic").toPandas().sort_values("raw_score")
@@ -61,7 +62,9 @@ def test_attribution_and_scoring(q):
     assert rows and all(r["risk_tier"] in C.TIER_NAMES for r in rows)
     assert all(r["top_factors"] is None or len(r["top_factors"]) <= C.SHAP_TOP_K for r in rows)
     assert all(r["patient_id"].startswith("batch_") for r in rows)
-    assert len({r["base_rate"] for r in rows}) == 1
+    assert {r["base_rate"] for r in rows} == {round(b, 4)}
+    phi = q("shapley_values").groupBy("encounter_id").agg(F.sum("phi").alias("s"), F.first("expected").alias("e"), F.count("*").alias("n")).collect()
+    assert phi and len({r["n"] for r in phi}) == 1 and len({r["e"] for r in phi}) == 1
     lenient = q("score_lenient").toPandas()
     assert lenient["score"].between(0, 1).all() and len(lenient) == len(rows)
     one, two = (sorted(map(tuple, q("score_stream").select("encounter_id", "score").collect()), key=repr) for _ in range(2))
