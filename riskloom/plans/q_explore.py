@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from riskloom import config as C
 from riskloom.functions.exprs import linspace
 from riskloom.operators import explore as E
+from riskloom.operators import sketches as SK
 from riskloom.operators import strata as S
 from riskloom.operators.cleaning import sentinel_to_null, with_binary_target
-from riskloom.plans.oracle import oracle
+from riskloom.plans.oracle import ORACLE, oracle
 from riskloom.plans.registry import query
 from riskloom.plans.sqlparts import (ENC_COLS, ENC_STRING_COLS, SENTINEL_CTE, with_encounter,
                                      with_scored)
+from riskloom.session import scratch_path
 from riskloom.sources.encounters import encounters, scored
 
 LABEL = C.LABEL_COL
@@ -93,6 +97,18 @@ oracle("cardinality_top3", with_encounter(
         f"GROUP BY {c}" for c in _CATS) + ") v) r WHERE rank <= 3", SENTINEL_CTE))
 
 
+@query("cardinality_sketches")
+def q_cardinality_sketches(spark, sf_dir):
+    """``cardinality_top3`` from sketches stored per part of the input (here the admission
+    type), merged; exact for columns of few values, as these are."""
+    path = scratch_path(spark, f"sketches_{uuid.uuid4().hex}")
+    SK.store(SK.column_sketches(_sentinel(spark, sf_dir), _CATS, "admission_type_id"), path)
+    return SK.estimates(SK.merge(SK.stored(spark, path)), 3)
+
+
+oracle("cardinality_sketches", ORACLE["cardinality_top3"])
+
+
 @query("null_counts")
 def q_null_counts(spark, sf_dir):
     return E.null_counts(sentinel_to_null(encounters(spark, sf_dir)))
