@@ -146,30 +146,89 @@ def _psi_sql():
 oracle("psi_drift", _psi_sql())
 
 
+_DRIFT_FEATURES = ["risk_score", "latency_s", "batch_id"]
+
+
+@query("psi_drift_stream")
+def q_psi_stream(spark, sf_dir):
+    """Daily drift of the log's second half, as a stream, against the stored baseline of
+    its first half, which is built from two parts merged."""
+    from riskloom.streaming import drift as DR
+    from riskloom.streaming import jobs as J
+    src, base = _stream_run(spark, sf_dir)
+    log, events = _log(spark, sf_dir), spark.read.parquet(src)
+    split = F.lit(_SPLIT_TS).cast("timestamp")
+    parts = written(DR.sketch_parts(log.where(F.col("ts") < split), _DRIFT_FEATURES, F.weekofyear("ts")), "drift-parts")
+    folder = os.path.join(base, "baseline")
+    first = parts.agg(F.min("part").alias("p")).first()["p"]
+    DR.save_baseline(parts.where(F.col("part") == first), folder)
+    DR.extend_baseline(parts.where(F.col("part") != first), folder)
+    events.where(F.col("ts").cast("timestamp") >= split).write.parquet(os.path.join(base, "events"))
+    J.run_drift(spark, os.path.join(base, "events"), folder, _DRIFT_FEATURES, os.path.join(base, "out")).awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out"))
+
+
+def _psi_stream_sql():
+    from riskloom.streaming.drift import BINS
+    split = f"TIMESTAMP '{_SPLIT_TS}'"
+    probs = "[" + ", ".join(repr(i / BINS) for i in range(1, BINS)) + "]"
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, ts, CAST({c} AS DOUBLE) AS v FROM plog WHERE {c} IS NOT NULL" for c in _DRIFT_FEATURES)
+    bin_of = "len(list_filter(edges, lambda x: x < v))"
+    return with_plog(
+        "SELECT window_start, feature, n, round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.1 THEN 'warning' ELSE 'ok' END AS status "
+        "FROM (SELECT window_start, feature, any_value(t) AS n, sum((a - e) * ln(a / e)) AS psi FROM (SELECT d.day AS window_start, d.feature, d.t, "
+        "greatest(b.c / b.t, 1e-4) AS e, greatest(coalesce(c.c, 0) / d.t, 1e-4) AS a FROM dt d JOIN bt b ON b.feature = d.feature "
+        "LEFT JOIN dc c ON c.day = d.day AND c.feature = d.feature AND c.bin = b.bin) s GROUP BY 1, 2) p "
+        "WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM plog)",
+        f"long AS ({rows}), ed AS (SELECT feature, list_sort(list_distinct(quantile_disc(v, {probs}))) AS edges FROM long WHERE ts < {split} GROUP BY feature), "
+        f"bc AS (SELECT feature, {bin_of} AS bin, count(*) AS c FROM long JOIN ed USING (feature) WHERE ts < {split} GROUP BY 1, 2), "
+        "bt AS (SELECT e.feature, r.bin, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY e.feature) AS t FROM (SELECT feature, unnest(range(0, len(edges) + 1)) AS bin FROM ed) r "
+        "JOIN ed e USING (feature) LEFT JOIN bc ON bc.feature = r.feature AND bc.bin = r.bin), "
+        f"dc AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, feature, {bin_of} AS bin, count(*) AS c FROM long JOIN ed USING (feature) WHERE ts >= {split} GROUP BY 1, 2, 3), "
+        "dt AS (SELECT day, feature, CAST(sum(c) AS BIGINT) AS t FROM dc GROUP BY 1, 2)")
+
+
+oracle("psi_drift_stream", _psi_stream_sql())
+
+
 # ---- scoring -------------------------------------------------------------------------------
-@query("score_batch")
-def q_score_batch(spark, sf_dir):
-    """Score, tier, top factors, base rate and version for a batch of rows: the whole
-    population.  Score, factors and base rate come from one score function, so a
-    row's ``expected`` (mean over its background draws) plus its factors is its score."""
+def answers(rm, background):
+    """The one answer to model inputs, in batch and on a stream: score, tier, top factors,
+    base rate and expected value.  Score, factors and base rate come from one score
+    function, so a row's ``expected`` (mean over its background draws) plus its factors
+    is its score."""
     from riskloom.operators import explain as X
     from riskloom.operators.strata import assign_tier, fixed_thresholds
-    from riskloom.plans.q_model import _calibrated, _splits, prepared
+    bg = written(background, "background")
+    base = X.base_rate(rm.predict_proba, bg)
+
+    def answer(rows):
+        attr = written(X.shapley_sampling(rows, bg, KEY, rm.features, rm.score_vectors, draws=SHAP_DRAWS), "attribution")
+        factors = X.factors_struct(X.local_explanation(attr, KEY), KEY)
+        total = attr.groupBy(KEY).agg(F.sum("phi").alias("_phi"))
+        out = assign_tier(rm.predict_proba(rows), fixed_thresholds(), "score", "risk_tier").join(total, KEY, "left").join(factors, KEY, "left")
+        return out.select(KEY, "score", F.round("score", 4).alias("risk_score"), "risk_tier", F.lit(round(base, 4)).alias("base_rate"),
+                          F.round(F.col("score") - F.col("_phi"), 4).alias("expected"), "top_factors")
+    return answer
+
+
+def _answers(spark, sf_dir):
+    from riskloom.operators import explain as X
+    from riskloom.plans.q_model import _calibrated, _splits
     rm, _, _ = _calibrated(spark, sf_dir)
-    batch, names = prepared(spark, sf_dir)
-    tr, _, _, _ = _splits(spark, sf_dir)
+    return rm, answers(rm, X.hash_rank_sample(_splits(spark, sf_dir)[0], KEY))
+
+
+@query("score_batch")
+def q_score_batch(spark, sf_dir):
+    """Score, tier, top factors, base rate and version for a batch of rows: the whole population."""
+    from riskloom.plans.q_model import prepared
+    batch, _ = prepared(spark, sf_dir)
     if batch.isEmpty():
         raise ValueError("empty batch")
-    bg = X.hash_rank_sample(tr, KEY).cache()
-    attr = written(X.shapley_sampling(batch, bg, KEY, names, rm.score_vectors, draws=SHAP_DRAWS), "attribution")
-    factors = X.factors_struct(X.local_explanation(attr, KEY), KEY)
-    total = attr.groupBy(KEY).agg(F.sum("phi").alias("_phi"))
-    base = X.base_rate(rm.predict_proba, bg)
-    out = assign_tier(rm.predict_proba(batch), fixed_thresholds(), "score", "risk_tier").join(total, KEY, "left").join(factors, KEY, "left")
-    return out.select(F.concat(F.lit("batch_"), F.col(KEY).cast("string")).alias("patient_id"),
-                      F.round("score", 4).alias("risk_score"), "risk_tier", F.lit(round(base, 4)).alias("base_rate"),
-                      F.round(F.col("score") - F.col("_phi"), 4).alias("expected"), "top_factors",
-                      F.lit("1.0.0").alias("model_version"))
+    return _answers(spark, sf_dir)[1](batch).select(
+        F.concat(F.lit("batch_"), F.col(KEY).cast("string")).alias("patient_id"), "risk_score", "risk_tier", "base_rate", "expected", "top_factors",
+        F.lit("1.0.0").alias("model_version"))
 
 
 SHAP_DRAWS = 8
@@ -251,28 +310,61 @@ def q_score_lenient(spark, sf_dir):
     return rm.predict_proba(filled).select(KEY, F.round("score", 6).alias("score"))
 
 
+#: Requests whose key this divides are sent twice.
+_RESENT = 41
+
+
+def _send(spark, reqs, base):
+    """Request files of a stream: all requests with the time they were sent, then some again."""
+    src = os.path.join(base, "requests")
+    sent = reqs.withColumn("sent", F.timestamp_seconds(F.lit(1704067200) + F.col(KEY) % 300))
+    sent.write.parquet(src)
+    sent.where(F.col(KEY) % _RESENT == 0).write.mode("append").parquet(src)
+    return src, sent.schema
+
+
 @query("score_stream")
 def q_score_stream(spark, sf_dir):
-    """Structured Streaming scoring of request files: valid rows with their score,
-    rejected rows with a NULL score and their violations, read back after the
-    available input has been processed.  Every call is a run of its own."""
+    """Structured Streaming answers to request files, some of them sent twice: valid rows with
+    score, tier, base rate and factors as ``score_batch`` gives them, rejected rows with
+    their violations, read back by their commits.  Every call is a run of its own."""
+    from riskloom.streaming import commits as CM
     from riskloom.streaming.jobs import run_scoring
-    reqs, rm = _model_requests(spark, sf_dir)
+    reqs, _ = _model_requests(spark, sf_dir)
+    rm, answer = _answers(spark, sf_dir)
     run = uuid.uuid4().hex
     base = scratch_path(spark, f"stream_{run}")
-    src = os.path.join(base, "requests")
-    reqs.write.parquet(src)
+    src, schema = _send(spark, reqs, base)
+    out = os.path.join(base, "out")
+
+    def scored(valid):
+        return answer(valid.select(KEY, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) if n in valid.columns else F.lit(0.0).alias(n)
+                                          for n in rm.features]))
+
+    run_scoring(spark, src, schema, scored, out, KEY, name=f"scoring_{run}").awaitTermination()
+    good = CM.read(spark, out, "answers").select(KEY, F.round("score", 6).alias("score"), "risk_tier", "base_rate", "expected", "top_factors")
+    return good.unionByName(CM.read(spark, out, "rejects").select(KEY, "violations"), allowMissingColumns=True)
+
+
+@query("request_rejects_stream")
+def q_request_rejects_stream(spark, sf_dir):
+    """``request_rejects`` of requests that come as a stream, some of them twice."""
+    from riskloom.operators.quality import REQUEST_FIELDS
+    from riskloom.plans.common import featured
+    from riskloom.streaming import commits as CM
+    from riskloom.streaming.jobs import run_scoring
+    rows = featured(spark, sf_dir)
+    names = [f[0] for f in REQUEST_FIELDS if f[0] in rows.columns]
+    run = uuid.uuid4().hex
+    base = scratch_path(spark, f"stream_{run}")
+    src, schema = _send(spark, requests(rows.select(KEY, *names)), base)
+    out = os.path.join(base, "out")
+    run_scoring(spark, src, schema, lambda valid: valid.select(KEY), out, KEY, name=f"rejects_{run}").awaitTermination()
+    bad = CM.read(spark, out, "rejects").select(F.explode(F.concat(F.array(F.lit("rejected")), F.col("violations"))).alias("reason"))
+    return CM.read(spark, out, "answers").select(F.lit("accepted").alias("reason")).unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
-    def score_batch(valid):
-        cols = [F.col(n).cast("double").alias(n) if n in valid.columns else F.lit(0.0).alias(n) for n in rm.features]
-        return rm.predict_proba(valid.select(KEY, *cols).na.fill(0.0)).select(KEY, F.round("score", 6).alias("score"))
 
-    q = run_scoring(spark, src, reqs.schema, score_batch, os.path.join(base, "out"),
-                    os.path.join(base, "rejects"), name=f"scoring_{run}")
-    q.awaitTermination()
-    none = F.lit(None)
-    good = spark.read.parquet(os.path.join(base, "out")).select(KEY, "score", none.cast("array<string>").alias("violations"))
-    return good.unionByName(spark.read.parquet(os.path.join(base, "rejects")).select(KEY, none.cast("double").alias("score"), "violations"))
+oracle("request_rejects_stream", _rejects_sql())
 
 
 # ---- the monitors as streams ---------------------------------------------------------------
@@ -302,10 +394,10 @@ def _register_streams():
 
     @query("tier_totals_stream")
     def q_tier_totals_stream(spark, sf_dir):
-        """Running tier totals as a stream with a durable table per batch; the newest."""
+        """Running tier totals as a stream of upserts; every tier's newest row."""
         src, base = _stream_run(spark, sf_dir)
         J.run_tier_totals(spark, _stream_source(spark, src, base), os.path.join(base, "out")).awaitTermination()
-        return J.latest(spark, os.path.join(base, "out"))
+        return J.latest(spark, os.path.join(base, "out"), ["tier"])
 
     oracle("tier_totals_stream", ORACLE["tier_totals"])
 
@@ -314,7 +406,7 @@ def _register_streams():
         """Batch-size histogram of streamed running counts."""
         src, base = _stream_run(spark, sf_dir)
         J.run_batch_sizes(spark, _stream_source(spark, src, base), os.path.join(base, "out")).awaitTermination()
-        return MON.size_hist(J.latest(spark, os.path.join(base, "out")))
+        return MON.size_hist(J.latest(spark, os.path.join(base, "out"), ["batch_id"]))
 
     oracle("batch_size_hist_stream", ORACLE["batch_size_hist"])
 

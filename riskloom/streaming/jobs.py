@@ -15,7 +15,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import checkpoint_dir
+from riskloom.session import checkpoint_dir, written
+from riskloom.streaming import commits as CM
+from riskloom.streaming import drift as DR
 from riskloom.streaming import monitor as MON
 
 WATERMARK = "10 minutes"
@@ -64,50 +66,59 @@ def run_windowed(spark: SparkSession, monitor: str, src: str, out: str, watermar
         .option("checkpointLocation", _ckpt(spark, monitor, src)).trigger(availableNow=True).start()
 
 
-def run_totals(spark: SparkSession, agg: DataFrame, out: str, name: str, src: str):
-    """Running totals (complete mode), each batch's whole result replacing the last as a
-    table ``out/batch=N``; ``latest`` reads the newest."""
+def run_drift(spark: SparkSession, src: str, baseline: str, features, out: str, watermark: str = WATERMARK):
+    """Daily drift of a prediction log's ``features`` against the newest version of the stored
+    ``baseline``, append mode, parquet sink: a day is written once the watermark has passed it."""
+    log = prediction_log_stream(spark, src).withWatermark("ts", watermark)
+    found = DR.drift(log, DR.load_baseline(spark, baseline), features)
+    return found.writeStream.outputMode("append").format("parquet").option("path", out) \
+        .option("checkpointLocation", _ckpt(spark, "drift", src)).trigger(availableNow=True).start()
+
+
+def run_totals(spark: SparkSession, agg: DataFrame, keys: list[str], out: str, name: str, src: str):
+    """Running totals in update mode: a batch writes the keys that changed, and ``latest``
+    reads every key's newest row."""
     def handle(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        CM.write_changes(batch, out, keys, batch_id)
 
-    return agg.writeStream.outputMode("complete").foreachBatch(handle) \
+    return agg.writeStream.outputMode("update").foreachBatch(handle) \
         .option("checkpointLocation", _ckpt(spark, name, src)).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The newest result of a running total."""
-    every = spark.read.parquet(out)
-    last = every.agg(F.max("batch").alias("b")).first()["b"]
-    return every.where(F.col("batch") == last).drop("batch")
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The present state of a running total."""
+    return CM.current(spark, out, keys)
 
 
-def run_tier_totals(spark: SparkSession, src: str, out: str, name: str = "tier_totals"):
+def run_tier_totals(spark: SparkSession, src: str, out: str, name: str = "tier_totals", max_files: int | None = None):
     """Running totals per tier."""
-    return run_totals(spark, MON.tier_totals(prediction_log_stream(spark, src)), out, name, src)
+    return run_totals(spark, MON.tier_totals(prediction_log_stream(spark, src, max_files=max_files)), ["tier"], out, name, src)
 
 
 def run_batch_sizes(spark: SparkSession, src: str, out: str, name: str = "batch_sizes"):
     """Running row counts per batch id; the histogram is taken of the newest counts
     (``MON.size_hist``)."""
-    return run_totals(spark, MON.batch_sizes(prediction_log_stream(spark, src)), out, name, src)
+    return run_totals(spark, MON.batch_sizes(prediction_log_stream(spark, src)), ["batch_id"], out, name, src)
 
 
-def run_scoring(spark: SparkSession, src: str, schema, score_batch, out: str, rejects: str,
-                name: str = "scoring"):
-    """Score arriving request rows: constraints → valid rows scored, invalid rows to
-    the reject table.  foreachBatch writes are keyed by batch id (idempotent on replay)."""
+def run_scoring(spark: SparkSession, src: str, schema, answer, out: str, key: str, ts: str = "sent",
+                name: str = "scoring", delay: str = WATERMARK, max_files: int | None = None):
+    """Answer arriving requests: the first row of every request id within ``delay`` counts
+    (state is bounded by the watermark), rows are checked, ``answer(valid rows)`` goes to
+    ``answers`` and rejected rows with their violations to ``rejects``, both under the
+    batch's commit (``commits.read``)."""
     from riskloom.operators.quality import row_constraints
 
     def handle(batch: DataFrame, batch_id: int):
-        checked = row_constraints(batch).cache()
-        valid = checked.where(F.size("violations") == 0).drop("violations")
-        bad = checked.where(F.size("violations") > 0)
-        score_batch(valid).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        bad.withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(os.path.join(rejects, f"batch={batch_id}"))
-        checked.unpersist()
-
-    stream = spark.readStream.schema(schema).parquet(src)
+        def write():
+            checked = written(row_constraints(batch), f"{name}-checked")
+            CM.write_batch(answer(checked.where(F.size("violations") == 0).drop("violations")), out, "answers", batch_id)
+            CM.write_batch(checked.where(F.size("violations") > 0), out, "rejects", batch_id)
+        CM.once(spark, out, batch_id, write)
+
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    stream = r.parquet(src).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
     return stream.writeStream.foreachBatch(handle) \
         .option("checkpointLocation", _ckpt(spark, name, src)).trigger(availableNow=True).start()
