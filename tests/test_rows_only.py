@@ -67,7 +67,13 @@ def test_attribution_and_scoring(q):
     assert phi and len({r["n"] for r in phi}) == 1 and len({r["e"] for r in phi}) == 1
     lenient = q("score_lenient").toPandas()
     assert lenient["score"].between(0, 1).all() and len(lenient) == len(rows)
-    one, two = (sorted(map(tuple, q("score_stream").select("encounter_id", "score").collect()), key=repr) for _ in range(2))
+    runs = [q("score_stream").collect() for _ in range(2)]
+    one, two = (sorted(((r["encounter_id"], r["score"]) for r in run), key=repr) for run in runs)
+    full = {r["patient_id"]: r for r in rows}           # a request's answer is the batch's answer
+    for r in runs[0]:
+        if r["violations"] is None:
+            same = full[f"batch_{r['encounter_id']}"]
+            assert (r["risk_tier"], r["base_rate"], r["expected"], r["top_factors"]) == (same["risk_tier"], same["base_rate"], same["expected"], same["top_factors"])
     assert one == two and len(one) == len(rows)         # every request once, on every call
     bad = [k for k, s in one if s is None]
     assert bad and {k for k in (r[0] for r in one) if k % 17 == 0} <= set(bad)
