@@ -1,9 +1,10 @@
 """Source divergence audit: how the sources of a language differ in its frequent terms.
 
-Frequent terms are found by iceberg prefix refinement.  A document's distinct terms,
-in byte order, are told apart from the one before by the first level whose prefix
-differs, so a prefix's number of distinct documents is a plain count of rows, added up
-before any shuffle.  Level k looks at prefixes of ``FIRST * 2 ** k`` bytes: those in
+Frequent terms are found by iceberg prefix refinement.  Each of a document's distinct
+terms, in byte order, is new from the first level on whose prefix differs from the
+term's before; so a prefix's number of distinct documents is a plain sum over the
+terms that are new at its level.  These sums are taken per group over all documents
+that a task reads (``HELD`` of them at a time), and only they are written.  Level k looks at prefixes of ``FIRST * 2 ** k`` bytes: those in
 fewer than ``LEAST`` documents of the language are discarded with all their terms;
 prefixes shorter than the level are complete terms and kept; the rest are extended by
 the next level, until none is left.  Only kept terms are counted by source.
@@ -22,7 +23,7 @@ item.  An empty table gives an empty result.  Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,15 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import long_text_batches, ordinals, written
 
 LEAST = 10
-FIRST = 4
+FIRST = 6
 TOP = 10
 CHUNK = 1000
 TILE = 512
 SCALE = 1_000_000_000
 #: Kept prefixes are sent to all workers up to this many bytes; beyond, the join shuffles.
-BROADCAST_BYTES = 32 << 20
-_OUT_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
+#: Term counts that a task holds before it writes them out.
+HELD = 800_000
 
 #: A-Z in lower case, other ASCII than letters as spaces, all bytes of other characters as they are.
 _BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,41 +51,73 @@ _BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 1
 
 def terms_of(text: str) -> list[bytes]:
     """All terms of a text, in order, as UTF-8."""
-    return text.encode().translate(_BYTES).split(b" ")
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, source, term, n, level``: a document's distinct terms with their counts and the
-    first level at which the term's prefix is new in the document."""
-    names = ["lang", "source", "term", "n", "level"]
-    kinds = [pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32()]
+    return text.encode().translate(_BYTES).split()
+
+
+def fresh_terms(terms: list[bytes]) -> list[list[bytes]]:
+    """Sorted distinct terms by the first level at which each one's prefix is new."""
+    heads = [t[:FIRST] for t in terms]
+    if len(set(heads)) == len(terms):
+        return [terms]
+    levels = [[t for t, head, last in zip(terms, heads, [None, *heads]) if head != last]]
+    for at in range(1, len(terms)):
+        if heads[at] == heads[at - 1]:
+            term, last, length, level = terms[at], terms[at - 1], FIRST * 2, 1
+            while term[:length] == last[:length]:
+                length, level = length * 2, level + 1
+            while len(levels) <= level:
+                levels.append([])
+            levels[level].append(term)
+    return levels
+
+
+class Held:
+    """Counts of a task's documents so far, by group: occurrences of each term, and per level
+    the documents in which it is new."""
+
+    def __init__(self):
+        self.groups: dict[tuple, tuple[Counter, defaultdict]] = {}
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        terms = terms_of(text)
+        if not terms:
+            return
+        counts, fresh = self.groups.setdefault((lang, source), (Counter(), defaultdict(Counter)))
+        counts.update(terms)
+        for level, new in enumerate(fresh_terms(sorted(set(terms)))):
+            fresh[level].update(new)
+
+    def size(self) -> int:
+        return sum(len(counts) for counts, _ in self.groups.values())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, fresh) in self.groups.items():
+            for level in sorted(fresh):
+                terms = fresh[level]
+                n = len(terms)
+                # a term's occurrences go with its lowest level
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(terms), pa.binary()),
+                     pa.array([level] * n, pa.int32()), pa.array(list(terms.values()), pa.int64()), pa.array([counts.pop(t, 0) for t in terms], pa.int64())],
+                    ["lang", "source", "term", "level", "docs", "n"])
+        self.groups = {}
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = Held()
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            counts = Counter(terms_of(text))
-            counts.pop(b"", None)
-            terms, levels, last = sorted(counts), [], b""
-            for term in terms:
-                length, level = FIRST, 0
-                while term[:length] == last[:length]:
-                    length, level = length * 2, level + 1
-                levels.append(level)
-                last = term
-            out[0] += [lang] * len(terms)
-            out[1] += [source] * len(terms)
-            out[2] += terms
-            out[3] += [counts[t] for t in terms]
-            out[4] += levels
-            if len(out[2]) > _OUT_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                out = [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            held.add(*row)
+        if held.size() > HELD:
+            yield from held.batches()
+    yield from held.batches()
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Every document's distinct terms (of ``docs(lang, source, text)``, no nulls)."""
-    long_text_batches(docs.sparkSession)
-    return docs.select("lang", "source", "text").mapInArrow(_terms, "lang string, source string, term binary, n int, level int")
+    """``lang, source, term, level, docs, n`` of ``docs(lang, source, text)`` (no nulls): partial
+    sums, to be added up, of the documents in which a term is new at a level, and of its occurrences."""
+    long_text_batches(docs.sparkSession, 200)
+    return docs.select("lang", "source", "text").mapInArrow(_postings, "lang string, source string, term binary, level int, docs long, n long")
 
 
 def _sized(kept: DataFrame) -> DataFrame:
@@ -101,8 +135,8 @@ def kept_terms(found: DataFrame, least: int = LEAST) -> DataFrame:
     refinement over ``found`` (of :func:`postings`, written)."""
     done, candidates, length, level = None, found, FIRST, 0
     while True:
-        counted = candidates.filter(F.col("level") <= level).groupBy("lang", prefix(F.col("term"), length).alias("term")).count()
-        kept = written(counted.filter(F.col("count") >= least).select("lang", "term"), f"iceberg-{level}")
+        counted = candidates.filter(F.col("level") <= level).groupBy("lang", prefix(F.col("term"), length).alias("term")).agg(F.sum("docs").alias("docs"))
+        kept = written(counted.filter(F.col("docs") >= least).select("lang", "term"), f"iceberg-{level}")
         whole = kept.filter(F.octet_length("term") < length)
         done = whole if done is None else done.unionByName(whole)
         open_ = kept.filter(F.octet_length("term") == length)
