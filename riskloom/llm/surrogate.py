@@ -17,11 +17,14 @@ replaced alike.  Cards of other than 16 digits must pass the Luhn check.
 Collision checks run over the distinct entities of the whole input: where two
 entities have one surrogate, or a surrogate is itself an entity, all but the
 smallest are keyed again with the next attempt number, until none is left
-(distinctness).  Only entities with an attempt above 0 are looked up when texts are
-rewritten.  All of it is DataFrame expressions.
+(distinctness).  All of it is DataFrame expressions.
+
+A given name is one entity, whatever titles stand before it, and has one gender in the
+whole input.  Repeated groups in the patterns are possessive, so that very long words,
+names and addresses are matched in constant stack space.
 
 Nulls: a null text stays null and has no entity.  Repeated rows give equal rows.
-An empty table gives an empty result.
+An empty table gives an empty result.  Other columns, of whatever names, are kept.
 """
 
 from __future__ import annotations
@@ -39,14 +42,14 @@ KINDS = ("email", "card", "ssn", "phone", "ip", "name")
 _WORD = r"[\p{L}\p{N}._%+-]"
 # Titles, particles of names.
 _TITLES = (r"(?:(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora|Señor|Sra|Sr|г-жа|г-н"
-           r"|Dra|Dr|Doctor|Doktor|Professorin|Professor|Prof)\.? )+")
+           r"|Dra|Dr|Doctor|Doktor|Professorin|Professor|Prof)\.? )++")
 PARTICLES = ("af", "al", "av", "bin", "da", "dal", "de", "degli", "del", "dela", "della", "den", "der", "des", "di", "do", "dos", "das", "du", "e", "el",
              "ibn", "la", "las", "le", "los", "san", "ten", "ter", "van", "vom", "von", "y", "zu", "zum", "zur")
-_PARTS = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
-_NAME = rf"(?!{_TITLES})\p{{Lu}}(?:\.|(?:[\p{{L}}\p{{M}}]|['’-](?!s(?!\p{{L}}))\p{{L}})+)"
+_PARTS = rf"(?:(?:{'|'.join(PARTICLES)}) )*+"
+_NAME = rf"(?!{_TITLES})\p{{Lu}}(?:\.|(?:[\p{{L}}\p{{M}}]|['’-](?!s(?!\p{{L}}))\p{{L}})++)"
 # One pattern a kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<!{_WORD}){_WORD}++@(?:[\p{{L}}\p{{N}}-]+\.)+\p{{L}}{{2,}}",
+    "email": rf"(?<!{_WORD}){_WORD}++@(?:[\p{{L}}\p{{N}}-]++\.(?=[\p{{L}}\p{{N}}-]++\.|\p{{L}}{{2}}))++\p{{L}}{{2,}}",
     "card": r"(?<![\p{L}\p{N}+])(?:\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{3}){3}"
             r"|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,3}|\d{6}[ -]\d{13}|\d{13,19})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}+-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -56,10 +59,10 @@ PATTERNS = {
              r"(?:\(0\d{1,4}\)[ -]?|0\d{1,4}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![\p{L}\p{N}])"
              r"|(?<![\p{L}\p{N}+.])0\d{9,10}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\p{L}\p{N}]|\.\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_PARTS}{_NAME}(?: {_PARTS}{_NAME})*",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_PARTS}{_NAME}(?: {_PARTS}{_NAME})*+",
 }
 FEMALE = r"^(Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Dra|г-жа)\b"
-NEUTRAL = r"^(?:(?:Dr|Doctor|Doktor|Professor|Prof)\.? )+(?!Mr|Herr|Frau|Monsieur|M[sml]|Señor|Sr)"
+NEUTRAL = r"^(?:(?:Dr|Doctor|Doktor|Professor|Prof)\.? )++(?!Mr|Herr|Frau|Monsieur|M[sml]|Señor|Sr)"
 NAMED = ("family", "given-f", "given-m", "given-n")
 GIVEN = {       # fixed values: given names by script and gender
     ("latin", "f"): "Ada Alma Berta Carla Clara Diana Edith Elena Emma Flora Greta Hanna Helen Ida Irene Julia Karin Laura Lena Lucy "
@@ -114,7 +117,7 @@ def same_format(text: Column, dig: Column, salt: int = 0) -> Column:
         for a in reversed(ALPHABETS):
             out = F.when(F.call_function("instr", F.lit(a), ch) > 0, F.substring(F.lit(a), draw(dig, i + salt, len(a)) + 1, F.lit(1))).otherwise(out)
         return out
-    return let(text, lambda t: F.array_join(F.transform(F.transform(places(t), lambda i: F.substring(t, i, F.lit(1))), one), ""))
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda ch: ch != ""), lambda ch, i: one(ch, i + 1)), "")
 
 
 def digits_of(text: Column) -> Column:
@@ -170,12 +173,16 @@ def name_units(value: Column) -> Column:
     given = F.when(value.rlike(FEMALE), F.lit("given-f")).when(value.rlike(NEUTRAL), F.lit("given-n")).otherwise(F.lit("given-m"))
 
     def named(words):
-        def kind(w, i):
-            last = i + 1 == F.size(words)
-            behind = F.exists(F.slice(words, 1, i), lambda x: F.lower(x).isin(*PARTICLES))
-            return (F.when(w.endswith("."), F.lit("initial")).when(~last & F.lower(w).isin(*PARTICLES), F.lit("particle"))
-                    .when(last | behind, F.lit("family")).otherwise(given))
-        return F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), F.lower(w).alias("canon")))
+        first = F.array_position(F.transform(words, lambda x: F.lower(x).isin(*PARTICLES)), True)     # 0: none
+
+        def kinds(particle):
+            def kind(w, i):
+                last = i + 1 == F.size(words)
+                behind = (particle > 0) & (particle <= i)
+                return (F.when(w.endswith("."), F.lit("initial")).when(~last & F.lower(w).isin(*PARTICLES), F.lit("particle"))
+                        .when(last | behind, F.lit("family")).otherwise(given))
+            return F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), F.lower(w).alias("canon")))
+        return let(first, kinds)
     return let(name_words(value), named)
 
 
@@ -264,7 +271,7 @@ def detected(docs: DataFrame) -> DataFrame:
     # longer words before those that they begin with; matches are capitalised
     words = F.array_join(F.sort_array(F.array_distinct(F.transform("_names", lambda n: n["canon"])), False), "|")
     word = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), words, F.lit(r")(?![\p{L}\p{N}])"))
-    alone = F.concat(F.lit(pattern + r"|(?<![\p{L}\p{N}])"), word, F.lit(f"(?: {_PARTS}"), word, F.lit(")*"))
+    alone = F.concat(F.lit(pattern + r"|(?<![\p{L}\p{N}])"), word, F.lit(f"(?: {_PARTS}"), word, F.lit(")*+"))
     some = F.size("_names") > 0
     df = df.withColumn("_alone", F.when(some, alone))
     df = df.withColumn("_found", F.when(some, F.regexp_extract_all("text", F.col("_alone"), F.lit(0))).otherwise(F.col("_found")))
@@ -297,30 +304,49 @@ def collision_free(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("no free surrogates left for some entities: their format has too few")
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, broadcast_rows: int = 20_000) -> DataFrame:
-    """``docs`` with entities in ``text`` replaced, and ``_hits``, the mentions found."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    found = detected(docs.withColumn("_id", F.xxhash64("doc_id", "text")))
-    mentions = written(found.select("_id", "_names", F.explode("_hits").alias("h"))
-                       .select("_id", F.explode(units(F.col("h.kind"), F.col("h.value"), F.col("_names"))).alias("u"), F.col("h.value").alias("value"))
-                       .select("_id", "u.*", "value").filter(~F.col("kind").isin("initial", "particle", "plain")), "mentions")
-    entities = (mentions.groupBy("kind", "canon").agg(F.min("value").alias("value"))
-                .withColumn("text", F.when(F.col("kind").isin(*NAMED), F.initcap("canon")).otherwise(F.col("value"))).drop("value"))
-    late = written(collision_free(entities, key).filter("attempt > 0"), "late")
-    of_doc = written(mentions.join(late, ["kind", "canon"]).select("_id", F.struct(F.concat_ws("\u0001", "kind", "canon").alias("k"), "attempt").alias("e"))
-                     .groupBy("_id").agg(F.map_from_entries(F.collect_set("e")).alias("_late")), "late-by-text")
-    if of_doc.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        of_doc = F.broadcast(of_doc)        # its rows have just been counted
-    df = found.join(of_doc, "_id", "left")
-    late_of = lambda kind, canon: F.coalesce(F.element_at(F.col("_late"), F.concat_ws("\u0001", kind, canon)), F.lit(0))
-
-    def written_as(h):
-        parts = units(h["kind"], h["value"], F.col("_names"))
-        name = F.concat(title_of(h["value"]), F.array_join(F.zip_with(parts, name_words(h["value"]), lambda u, w: unit_surrogate(
-            u["kind"], w, u["canon"], late_of(u["kind"], u["canon"]), key)), " "))
-        u = F.element_at(parts, 1)
-        return F.when(h["kind"] == "name", name).otherwise(unit_surrogate(u["kind"], h["value"], u["canon"], late_of(u["kind"], u["canon"]), key))
-
-    text = F.when(F.size("_hits") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(
-        "_gaps", F.transform("_hits", written_as), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), ""))
-    return df.withColumn("_text", text).select(*[F.col("_text").alias("text") if c == "text" else o for c, o in zip(docs.columns, own)], "_hits")
+def _words(h: Column, names: Column) -> Column:
+    """What a mention is written anew from: ``(kind, canon, word)`` of each unit, in order."""
+    parts = units(h["kind"], h["value"], names)
+    words = F.when(h["kind"] == "name", name_words(h["value"])).otherwise(F.array(h["value"]))
+    return F.zip_with(parts, words, lambda u, w: F.struct(
+        F.when(u["kind"].startswith("given"), F.lit("given")).otherwise(u["kind"]).alias("base"), u["kind"].alias("kind"), u["canon"].alias("canon"), w.alias("word")))
+
+
+def distinct_entities(mentions: DataFrame) -> DataFrame:
+    """``base, canon, kind, text`` of the entities that are keyed.  A given name has one gender in the
+    whole input: the one that most of its titles show (of equally many the female one)."""
+    shows = lambda g: F.count_if(F.col("kind") == f"given-{g}")
+    gender = F.when(F.col("f") + F.col("m") == 0, "given-n").when(F.col("f") >= F.col("m"), "given-f").otherwise("given-m")
+    per = mentions.filter(~F.col("base").isin("initial", "particle", "plain")).groupBy("base", "canon") \
+        .agg(shows("f").alias("f"), shows("m").alias("m"), F.min("word").alias("word"))
+    return per.select("base", "canon", F.when(F.col("base") == "given", gender).otherwise(F.col("base")).alias("kind"),
+                      F.when(F.col("base").isin("given", "family"), F.initcap("canon")).otherwise(F.col("word")).alias("text"))
+
+
+def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with entities in ``text`` replaced, and ``_hits``, the mentions found.
+
+    Detection runs once, into a table; surrogates are made once for every entity and
+    spelling; texts with mentions are put together again from these by row and place."""
+    found = detected(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")))
+    found = written(found.select("row", "_gaps", "_hits", "_names").withColumn("id", F.monotonically_increasing_id()), "detected")
+    some = found.filter(F.size("_hits") > 0)
+    spoken = some.select("id", "_names", F.posexplode("_hits").alias("place", "h"))
+    lead = F.when(F.col("h.kind") == "name", title_of(F.col("h.value"))).otherwise(F.lit(""))
+    spoken = spoken.select("id", "place", lead.alias("lead"), F.posexplode(_words(F.col("h"), F.col("_names"))).alias("at", "u"))
+    mentions = written(spoken.select("id", "place", "at", "lead", "u.*"), "mentions")
+
+    entities = written(distinct_entities(mentions), "distinct-entities")
+    late = collision_free(entities.select("kind", "canon", "text"), key)
+    keyed = entities.join(late, ["kind", "canon"]).select("base", "canon", F.col("kind").alias("as"), "attempt")
+    spelled = mentions.filter(~F.col("base").isin("particle", "plain")).select("base", "canon", "word").distinct().join(keyed, ["base", "canon"], "left")
+    made = unit_surrogate(F.coalesce("as", "base"), F.col("word"), F.col("canon"), F.coalesce("attempt", F.lit(0)), key)
+    spelled = written(spelled.select("base", "canon", "word", made.alias("made")), "spelled")
+
+    said = mentions.join(spelled, ["base", "canon", "word"], "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
+        "place", "at", "lead", F.coalesce("made", "word").alias("made")))).alias("said"))
+    joined = some.join(said, "id")
+    piece = F.transform("said", lambda e: F.concat(F.when(e["at"] == 0, F.concat(F.get("_gaps", e["place"]), e["lead"])).otherwise(F.lit(" ")), e["made"]))
+    text = F.concat(F.array_join(piece, ""), F.element_at("_gaps", -1))
+    own = lambda df, text: df.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns], "_hits")
+    return own(found.filter(F.size("_hits") == 0), F.col("row.text")).union(own(joined, text))

@@ -98,7 +98,11 @@ def test_surrogates_are_distinct_and_no_entity(spark, tmp_path):
     assert len(set(new.values())) == len(rows)
     assert not set(new.values()) & {t.split()[1] for _, t in rows}
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])      # the same by the join that is not broadcast
-    assert {r.doc_id: r.text.split()[1] for r in surrogate.pseudonymised(docs, broadcast_rows=0).collect()} == new
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.doc_id: r.text.split()[1] for r in surrogate.pseudonymised(docs).collect()} == new
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.doc_id: r.text.split()[1] for r in surrogate.pseudonymised(docs, key="other").collect()} != new
 
 
