@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from riskloom.plans.sqlparts import ENC_COLS, nulled_sql, with_encounter, with_s
 from riskloom.session import scratch_path
 from riskloom.sources import io as IO
 from riskloom.sources.encounters import encounters, scored
-from riskloom.sources.tables import read_table, scan_csv
+from riskloom.sources.tables import infer_csv, read_table, scan_csv
 
 KEY = "encounter_id"
 
@@ -46,6 +47,33 @@ def q_scan_csv(spark, sf_dir):
 oracle("scan_csv", with_encounter("SELECT " + ", ".join(nulled_sql(c) for c in ENC_COLS) + " FROM encounter"))
 
 
+_MIXED = {      # column: (Spark and SQL expression over orders, type that its text has)
+    "o_orderkey": ("o_orderkey", "bigint"), "price": ("CAST(o_custkey AS DOUBLE) / 8", "double"), "placed": ("CAST(o_orderdate AS DATE)", "date"),
+    "priority": ("o_orderpriority", "string"), "odd": ("o_custkey % 2 = 1", "boolean"),
+    "some": ("CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END", "bigint"), "code": ("CASE WHEN o_orderkey % 1000 = 1 THEN 'x' ELSE '7' END", "string")}
+
+
+@query("scan_csv_inferred")
+def q_scan_csv_inferred(spark, sf_dir):
+    """A CSV without schema, every 50th order's line cut short: each column's type as found
+    and its values, and the malformed rows, which are kept."""
+    path = scratch_path(spark, f"mixed_csv_{uuid.uuid4().hex}")
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    cut = F.col("o_orderkey") % 50 == 0
+    orders.where(~cut).selectExpr(*[f"{e} AS {c}" for c, (e, _) in _MIXED.items()]).write.option("header", True).csv(path)
+    header = spark.createDataFrame([(",".join(_MIXED),)], "value string")
+    header.unionByName(orders.where(cut).select(F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"))).coalesce(1).write.mode("append").text(path)
+    rows = infer_csv(spark, path)
+    types = F.create_map(*[F.lit(x) for f in rows.schema for x in (f.name, f.dataType.simpleString())])
+    counts = rows.agg(*[F.count(f"`{c}`").alias(c) for c in rows.columns])
+    return counts.unpivot([], rows.columns, "column", "n").select("column", types[F.col("column")].alias("type"), "n")
+
+
+oracle("scan_csv_inferred", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, '{t}' AS type, count({e}) AS n FROM orders WHERE o_orderkey % 50 <> 0" for c, (e, t) in _MIXED.items())
+    + " UNION ALL SELECT '_malformed', 'string', count(*) FROM orders WHERE o_orderkey % 50 = 0")
+
+
 @query("sink_csv")
 def q_sink_csv(spark, sf_dir):
     enc = encounters(spark, sf_dir)

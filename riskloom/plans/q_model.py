@@ -323,52 +323,32 @@ def q_fit_logistic(spark, sf_dir):
         .unionByName(_long(average_precision(s), {"val_ap": "average_precision"}))
 
 
-@query("hyper_search")
-def q_hyper_search(spark, sf_dir):
-    tr, va, _, names = _splits(spark, sf_dir)
-    return MD.hyper_search(tr, va, names, LABEL, n_trials=REGISTRY_TRIALS, space=REGISTRY_SPACE)
-
-
-_TRIAL_FEATURES = PIPE_NUMS[:8]
-
-
-def _feature_trials(spark, sf_dir):
-    """A trials table that SQL can derive too: each numeric feature's validation AUC as a scorer."""
-    _, va, _, _ = _splits(spark, sf_dir)
-    va = va.cache()
-    out = None
-    for i, c in enumerate(_TRIAL_FEATURES):
-        t = auc_table(va.select(F.col(LABEL).alias("label"), F.col(c).alias("score"))) \
-            .select(F.lit(i).alias("trial"), F.lit(c).alias("feature"), F.round("auc_roc", 6).alias("val_auc"))
-        out = t if out is None else out.unionByName(t)
-    return out
+def search_trials(spark, sf_dir):
+    """The search's trials table, written once per application and input."""
+    k = "trials_" + input_key(spark, sf_dir, REGISTRY_TRIALS, sorted(REGISTRY_SPACE.items()))
+    if k not in _MADE:
+        tr, va, _, names = _splits(spark, sf_dir)
+        path = scratch_path(spark, k)
+        MD.hyper_search(tr, va, names, LABEL, n_trials=REGISTRY_TRIALS, space=REGISTRY_SPACE).write.mode("overwrite").parquet(path)
+        _MADE[k] = path
+    return spark.read.parquet(_MADE[k])
 
 
-def _trials_sql(body):
-    one = " UNION ALL ".join(
-        f"SELECT {i} AS trial, '{c}' AS feature, {LABEL} AS y, {c} AS s FROM imp WHERE split = 'val'" for i, c in enumerate(_TRIAL_FEATURES))
-    return _pipe_sql(body, (
-        f"long AS ({one}), ranks AS (SELECT trial, feature, y, rank() OVER (PARTITION BY trial ORDER BY s) "
-        "+ (count(*) OVER (PARTITION BY trial, s) - 1) / 2.0 AS r FROM long), "
-        "trials AS (SELECT trial, feature, round((sum(CASE WHEN y = 1 THEN r END) - "
-        "count_if(y = 1) * (count_if(y = 1) + 1) / 2.0) / (count_if(y = 1) * count_if(y = 0)), 6) AS val_auc "
-        "FROM ranks GROUP BY 1, 2)"))
+@query("hyper_search")
+def q_hyper_search(spark, sf_dir):
+    return search_trials(spark, sf_dir)
 
 
 @query("search_convergence")
 def q_search_convergence(spark, sf_dir):
-    return MD.search_convergence(_feature_trials(spark, sf_dir))
-
-
-oracle("search_convergence", _trials_sql("SELECT trial, val_auc, max(val_auc) OVER (ORDER BY trial) AS best_so_far FROM trials"))
+    """Best validation AUC so far over the trials of ``hyper_search``."""
+    return MD.search_convergence(search_trials(spark, sf_dir))
 
 
 @query("best_trial")
 def q_best_trial(spark, sf_dir):
-    return MD.best_trial(_feature_trials(spark, sf_dir))
-
-
-oracle("best_trial", _trials_sql("SELECT * FROM trials ORDER BY val_auc DESC, trial LIMIT 1"))
+    """Parameters and AUC of the best of these trials."""
+    return MD.best_trial(search_trials(spark, sf_dir))
 
 
 def _calibrated(spark, sf_dir):

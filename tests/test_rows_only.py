@@ -42,6 +42,15 @@ def test_model_queries(q):
     assert same["same"].all()
 
 
+def test_search_over_its_own_trials(q):
+    trials = q("hyper_search").toPandas().sort_values("trial")
+    curve = q("search_convergence").toPandas().sort_values("trial")
+    assert list(curve["val_auc"]) == list(trials["val_auc"]) and list(curve["best_so_far"]) == list(trials["val_auc"].cummax())
+    best = q("best_trial").toPandas()
+    assert len(best) == 1 and best["val_auc"].iloc[0] == trials["val_auc"].max() and {"learning_rate", "max_depth", "n_estimators"} <= set(best.columns)
+    assert tuple(best.iloc[0]) in {tuple(r) for r in trials[list(best.columns)].itertuples(index=False)}
+
+
 def test_training_reports(q):
     rt = q("run_training").toPandas()
     assert set(rt["split"]) == {"val", "test"} and len(rt) == 2 * 17
