@@ -392,16 +392,13 @@ def q_model_save_load(spark, sf_dir):
 
 @query("run_training")
 def q_run_training(spark, sf_dir):
-    """Fit → calibrate on val → metrics for val and test (long table)."""
-    from riskloom.operators.metrics import headline_metrics
-    rm, _, te = _calibrated(spark, sf_dir)
-    _, va, _, _ = _splits(spark, sf_dir)
-    out = None
-    for name, part in (("val", va), ("test", te)):
-        s = rm.predict_proba(part).select(F.col(LABEL).alias("label"), "score").cache()
-        h = headline_metrics(s).withColumn("split", F.lit(name))
-        out = h if out is None else out.unionByName(h)
-    return out
+    """A whole run (search, fit, calibration, evaluation, tiers) as a version of a model
+    folder; its metrics for val and test as read back (long table)."""
+    from riskloom.operators.training import load_run, train
+    tr, va, te, names = _splits(spark, sf_dir)
+    path = scratch_path(spark, "training_" + input_key(spark, sf_dir))
+    train(tr, va, te, names, LABEL, path, trials=search_trials(spark, sf_dir))
+    return load_run(spark, path).table("metrics")
 
 
 @query("before_after_calibration")
