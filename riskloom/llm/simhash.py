@@ -169,5 +169,5 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BI
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     keep = labelled(rows, shingle, max_bits, blocks, chunk).groupBy("label").agg(first.alias("f")).select(F.col("f.row").alias("_kept"))
-    return (docs.withColumn("_row", row).join(keep, F.col("_row") == F.col("_kept"))
-            .dropDuplicates(["_row"]).select(*every))
+    own = docs.select(F.struct(*every).alias("own"), row.alias("_row"))     # its columns may have any names
+    return own.join(keep, F.col("_row") == F.col("_kept")).dropDuplicates(["_row"]).select("own.*")

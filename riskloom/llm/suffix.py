@@ -333,8 +333,9 @@ def cut_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             out.append(b"".join([*parts, data[at:]]).decode())
         return pd.Series(out)
 
-    marked = with_cuts(docs, "first", depth)
-    same = marked.filter("_cuts is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    less = (marked.filter("_cuts is not null").withColumn("text", without("text", "_cuts")).filter("text <> ''")
-            .withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "bigint"))))
-    return same.union(less.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
+    marked = with_cuts(own, "first", depth)
+    same = marked.filter("_cuts is null").select("own.*")
+    less = marked.filter("_cuts is not null").withColumn("_left", without("text", "_cuts")).filter("_left <> ''")
+    changed = {"text": F.col("_left"), "n_chars": F.char_length("_left").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return same.union(less.select(*[changed.get(c, F.col("own").getField(c)).alias(c) for c in docs.columns]))
