@@ -11,7 +11,8 @@ columns of ``documents``; ``n_chars`` follows a changed text.
 4. ``secrets`` masks every secret found.
 5. ``packing`` returns the pieces of the packed sequences.
 
-Null texts count as empty texts, empty tables pass through all stages.
+Null texts count as empty texts, empty tables pass through all stages, further columns
+of any names keep their values up to the last stage.
 """
 
 from __future__ import annotations
@@ -24,13 +25,10 @@ from riskloom.llm.common import texts, written
 from riskloom.sources.tables import read_table
 
 
-def _columns(docs: DataFrame, **changed) -> list:
-    return [changed.get(c, F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns]
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = nbsvm.fit(docs, read_table(spark, sf_dir, "labels"))
-    return nbsvm.scored(docs, model, "_score").filter(F.col("_score") >= nbsvm.KEEP_AT).select(*_columns(docs))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
+    return nbsvm.scored(own, model).filter(F.col("score") >= nbsvm.KEEP_AT).select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +40,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs, secrets.fit(secrets.document_samples(docs))).withColumn("_masked", secrets.masked())
-    hit = F.size("_spans") > 0
-    changed = {"text": F.when(hit, F.col("_masked")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.char_length("_masked").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return found.select(*_columns(docs, **changed))
+    return secrets.masked_texts(docs, secrets.fit(secrets.document_samples(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
