@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import config as C
+from riskloom.operators.isotonic import block_ends, pooled_blocks
 
 
 GAIN_SCALE = 2.0e-4
@@ -93,9 +94,11 @@ def score(model: PipelineModel, df: DataFrame, out: str = "raw_score") -> DataFr
 
 # ---- isotonic calibration ---------------------------------------------------------------
 def fit_isotonic(scored_val: DataFrame, label: str, raw: str = "raw_score") -> IsotonicRegressionModel:
-    """Non-decreasing map raw score → probability, fitted on validation scores only."""
-    ir = IsotonicRegression(featuresCol=raw, labelCol=label, predictionCol="score", isotonic=True)
-    return ir.fit(scored_val.select(F.col(raw).cast("double").alias(raw), F.col(label).cast("double").alias(label)))
+    """Non-decreasing map raw score → probability, fitted on validation scores only: the
+    blocks are pooled over score ranges, the stored model is MLlib's over their ends
+    (which are monotone already, so nothing is left to pool)."""
+    ends = block_ends(pooled_blocks(scored_val, label, raw)).select(F.col("x").alias(raw), F.col("value").alias(label), F.col("weight").alias("_w"))
+    return IsotonicRegression(featuresCol=raw, labelCol=label, predictionCol="score", weightCol="_w", isotonic=True).fit(ends)
 
 
 def calibrate(iso: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:
