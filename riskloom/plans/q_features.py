@@ -88,9 +88,7 @@ oracle("drop_high_missing", with_encounter(
 
 @query("drop_constant")
 def q_drop_constant(spark, sf_dir):
-    d = _after_target(spark, sf_dir)
-    d = d.drop(*K.high_missing_columns(d, exclude=(KEY,)))
-    return K.constant_profile(d, exclude=(KEY,))
+    return K.constant_profile(_after_target(spark, sf_dir), exclude=(KEY,), max_missing=C.HIGH_MISSING_PCT)
 
 
 oracle("drop_constant", with_encounter(
