@@ -92,14 +92,20 @@ def histogram(df: DataFrame, cols, bins: int = 30) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pearson correlation for every pair below the diagonal (pairwise-complete rows)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    row = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}")
-                   for a, b in pairs])
-    s = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                     F.round(F.col(f"`{a}__{b}`"), 6).alias("corr"))
-                            for a, b in pairs]))
-    return row.select(s.alias("x")).select("x.*")
+    """Pearson correlation for every pair below the diagonal (pairwise-complete rows).
+
+    Every row meets every pair, and pairs are groups: one aggregate over all pairs would be
+    a generated method that is too big for the JVM to compile."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
+    of = lambda k: F.array(*[F.lit(p[k]) for p in pairs])
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    long = df.select(values.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("pair"))
+    long = long.select("pair", F.get("v", F.get(of(0), F.col("pair"))).alias("x"), F.get("v", F.get(of(1), F.col("pair"))).alias("y"))
+    found = long.groupBy("pair").agg(safe_corr("x", "y").alias("corr"))
+    names = [(n, cols[i], cols[j]) for n, (i, j) in enumerate(pairs)]
+    every = df.sparkSession.createDataFrame(names, "pair int, col_a string, col_b string")
+    # one row per pair on both sides
+    return every.join(found, "pair", "left").select("col_a", "col_b", F.round("corr", 6).alias("corr"))
 
 
 def box_stats(df: DataFrame, cols, by: str) -> DataFrame:

@@ -91,3 +91,21 @@ def test_diagnosis_codes_are_parsed_once_a_row(spark):
 def test_written_bounds_the_rows_of_a_file(spark):
     t = written(spark.range(0, 100, 1, 1), "bounded", 30)
     assert len(t.inputFiles()) == 4 and t.count() == 100
+
+
+def test_correlations_aggregate_one_pair_at_a_time(spark):
+    from riskloom.operators.explore import correlation_matrix
+    few, names = wide(spark, 3)
+    many, all_names = wide(spark, 12)
+    plans = [text(correlation_matrix(df, f)).split("== Physical Plan ==")[1] for df, f in ((few, names), (many, all_names))]
+    assert plans[0].count("covar_pop(") == plans[1].count("covar_pop(") > 0
+    rows = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation_matrix(few.withColumn("void", F.lit(None).cast("int")), [*names, "void"]).collect()}
+    assert set(rows) == {("f1", "f0"), ("f2", "f0"), ("f2", "f1"), ("void", "f0"), ("void", "f1"), ("void", "f2")}
+    assert all(rows[p] is None for p in rows if "void" in p)
+    for a, b in (("f1", "f0"), ("f2", "f1")):
+        pairs = [(r[a], r[b]) for r in few.collect() if r[a] is not None and r[b] is not None]
+        mx, my = (sum(p[k] for p in pairs) / len(pairs) for k in (0, 1))
+        cov = sum((x - mx) * (y - my) for x, y in pairs)
+        norm = (sum((x - mx) ** 2 for x, _ in pairs) * sum((y - my) ** 2 for _, y in pairs)) ** 0.5
+        assert rows[a, b] == pytest.approx(cov / norm, abs=2e-6)
+    assert [r["corr"] for r in correlation_matrix(few.limit(0), names).collect()] == [None] * 3
