@@ -109,3 +109,28 @@ def test_correlations_aggregate_one_pair_at_a_time(spark):
         norm = (sum((x - mx) ** 2 for x, _ in pairs) * sum((y - my) ** 2 for _, y in pairs)) ** 0.5
         assert rows[a, b] == pytest.approx(cov / norm, abs=2e-6)
     assert [r["corr"] for r in correlation_matrix(few.limit(0), names).collect()] == [None] * 3
+
+
+def test_shuffles_follow_the_rows_of_the_input(spark, tmp_path, monkeypatch):
+    from riskloom import session as S
+    from riskloom.sources.encounters import encounters
+    spark.range(40).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "timestamp_seconds(id * 86400) as o_orderdate",
+                               "'1-URGENT' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(7).selectExpr("id as c_custkey", "'x' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(120).selectExpr("id % 40 as l_orderkey", "id as l_partkey", "'R' as l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    was = spark.conf.get(first, None)
+    try:
+        spark.conf.unset(first)
+        assert encounters(spark, str(tmp_path)).count() == 40
+        assert spark.conf.get(first, None) is None      # few rows: as the session has it
+        monkeypatch.setattr(S.follow_rows, "__defaults__", (4,))
+        plan = text(encounters(spark, str(tmp_path))).split("== Physical Plan ==")[1]
+        assert "hashpartitioning(l_orderkey" in plan and ", 30)" in plan
+        S.follow_rows(spark, 8)
+        assert spark.conf.get(first) == "30"            # never lowered
+        assert encounters(spark, str(tmp_path)).count() == 40
+    finally:
+        spark.conf.unset(first)
+        if was is not None:
+            spark.conf.set(first, was)
