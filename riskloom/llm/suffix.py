@@ -220,21 +220,17 @@ def key_bit(k: str = "k", row: str = "row") -> Column:
     return F.pmod(F.xxhash64(k, row), F.lit(BITS))
 
 
-def maybe_in(keys: DataFrame):
-    """A test of ``key_bit`` that is true for every row of ``keys(k, row)`` and seldom
-    for others: one bit for each hashed key, ``BITS`` bits whatever the input's size."""
-    parts = (keys.select(key_bit().alias("bit")).groupBy(F.shiftright("bit", 15).alias("word"))
-             .agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).collect())
-    mask = np.zeros(BITS // 8, np.uint8)
-    for r in parts:
-        mask[r["word"] * 4096:(r["word"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-
-    @F.pandas_udf("boolean")
-    def test(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy(np.int64)
-        return pd.Series((mask[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool))
-
-    return test
+def maybe_in(rows: DataFrame, keys: DataFrame, k: str = "k", row: str = "row") -> DataFrame:
+    """``rows`` with ``_maybe``: true for every row of ``keys(k, row)`` and seldom for others,
+    by one bit for each hashed key, ``BITS`` bits whatever the input's size."""
+    parts = (keys.select(key_bit().alias("bit")).groupBy(F.shiftright("bit", 15).alias("_word"))
+             .agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("_bits")))
+    place = F.col("_bit").bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, place.bitwiseAND(F.lit(7))) == 1
+    return (rows.withColumn("_bit", key_bit(k, row)).withColumn("_word", F.shiftright("_bit", 15))
+            .join(F.broadcast(parts), "_word", "left")
+            .select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias("_maybe")))
 
 
 def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_limit: int = RUNS) -> DataFrame:
@@ -259,7 +255,7 @@ def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_
             yield pd.DataFrame(rows, columns=["h", "c", "m", "k", "row", "lo", "data"])
         release_memory()
 
-    some = docs.select("k", "row", "text").filter(maybe_in(mixed)(key_bit()))
+    some = maybe_in(docs.select("k", "row", "text"), mixed).filter("_maybe").drop("_maybe")
     data = (some.join(wanted, ["k", "row"]).mapInPandas(
         cut_out, "h bigint, c bigint, m bigint, k bigint, row bigint, lo int, data binary").dropDuplicates(["h", "c"]))
     data = written(data, "run-bytes")
@@ -297,9 +293,9 @@ def with_cuts(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_limi
     keyed = (docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64("doc_id", plain)))
     slim = keyed.select(F.col("_k").alias("k"), F.col("_row").alias("row"), plain.alias("text"))
     cuts = removed_spans(slim, keep, depth, runs_limit).select(F.col("k").alias("_k"), F.col("row").alias("_row"), F.col("cuts").alias("_cuts"))
-    test = maybe_in(cuts.select(F.col("_k").alias("k"), F.col("_row").alias("row")))(key_bit("_k", "_row"))
-    touched = keyed.filter(test).join(cuts, ["_k", "_row"], "left")
-    untouched = keyed.filter(~test).withColumn("_cuts", F.lit(None).cast("array<struct<at:int,end:int>>"))
+    tested = maybe_in(keyed, cuts.select(F.col("_k").alias("k"), F.col("_row").alias("row")), "_k", "_row")
+    touched = tested.filter("_maybe").join(cuts, ["_k", "_row"], "left")
+    untouched = tested.filter("not _maybe").withColumn("_cuts", F.lit(None).cast("array<struct<at:int,end:int>>"))
     names = [F.col(f"`{c}`") for c in own]
     return touched.select(*names, "_cuts").union(untouched.select(*names, "_cuts"))
 
@@ -314,28 +310,35 @@ def kept_bytes(text: str = "text", cuts: str = "_cuts") -> Column:
     return F.when(F.col(cuts).isNull(), data).otherwise(cut)
 
 
+def kept_characters(text: str = "text", cuts: str = "_cuts") -> Column:
+    """The text without its cuts, spans shrunk to whole characters."""
+    spans = F.col(cuts)
+
+    def shrink(data, at, step):
+        """``at`` moved by ``step`` over the rest of a character (up to three bytes)."""
+        inside, moved = F.lit(True), F.lit(0)
+        for i in range(3):
+            inside = inside & F.substring(data, at + i * step + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+            moved = moved + F.when(inside, step).otherwise(0)
+        return at + moved
+
+    def piece(data, i):
+        start = F.when(i == 0, 0).otherwise(shrink(data, F.get(spans, i - 1)["end"], -1))
+        end = F.when(i == F.size(spans), F.octet_length(data)).otherwise(shrink(data, F.get(spans, i)["at"], 1))
+        return F.substring(data, start + 1, end - start).cast("string")
+
+    # the bytes as a lambda's variable: taken from the row once, not once a span
+    whole = F.transform(F.array(F.col(text).cast("binary")), lambda data: F.array_join(
+        F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: piece(data, i)), ""))
+    return F.get(whole, F.lit(0))
+
+
 def cut_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``docs`` without later copies of repeated passages, first copies kept: spans
     shrink to whole characters, ``n_chars`` follows, texts that lose all go."""
-    @F.pandas_udf("string")
-    def without(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(text, cuts):
-            data, at, parts = t.encode(), 0, []
-            for s in spans:
-                a, b = s["at"], s["end"]
-                while a < b and data[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                    b -= 1
-                parts.append(data[at:a])
-                at = b
-            out.append(b"".join([*parts, data[at:]]).decode())
-        return pd.Series(out)
-
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
     marked = with_cuts(own, "first", depth)
     same = marked.filter("_cuts is null").select("own.*")
-    less = marked.filter("_cuts is not null").withColumn("_left", without("text", "_cuts")).filter("_left <> ''")
+    less = marked.filter("_cuts is not null").withColumn("_left", kept_characters()).filter("_left <> ''")
     changed = {"text": F.col("_left"), "n_chars": F.char_length("_left").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
     return same.union(less.select(*[changed.get(c, F.col("own").getField(c)).alias(c) for c in docs.columns]))
