@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows
     if len(set(y)) < 2:
         share = n.get(True, 0) / max(1, sum(n.values())) if n else 0.5
         return None, 0.0, share
-    x = [np.frombuffer(r["x"], "<i4").astype(np.int64) for r in rows]
+    x = [np.frombuffer(r["x"], "<i4") for r in rows]
     fold = np.arange(len(x)) % FOLDS
     m = np.zeros(len(x))
     for k in range(FOLDS):
@@ -188,7 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows
             m[i] = margin(w, x[i])
     weight = np.where(y > 0, n[True] / (y > 0).sum(), n[False] / (y < 0).sum()) / sum(n.values())
     a, b = logistic_curve(m, y, weight)
-    return fit_weights(x, y).astype(np.float32), a, b
+    model = fit_weights(x, y).astype(np.float32), a, b
+    del rows, x, w
+    release_memory()        # later stages run beside this process
+    return model
 
 
 def score_udf(model):
