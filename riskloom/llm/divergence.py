@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -54,20 +55,30 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(_BYTES).split()
 
 
-def fresh_terms(terms: list[bytes]) -> list[list[bytes]]:
-    """Sorted distinct terms by the first level at which each one's prefix is new."""
-    heads = [t[:FIRST] for t in terms]
-    if len(set(heads)) == len(terms):
-        return [terms]
-    levels = [[t for t, head, last in zip(terms, heads, [None, *heads]) if head != last]]
-    for at in range(1, len(terms)):
-        if heads[at] == heads[at - 1]:
-            term, last, length, level = terms[at], terms[at - 1], FIRST * 2, 1
+def fresh_terms(terms: set[bytes]) -> list[list[bytes]]:
+    """Distinct terms by the first level at which each one's prefix is new, in byte order.
+    Only terms that share their first prefix are sorted."""
+    head = itemgetter(slice(FIRST))
+    one = dict(zip(map(head, terms), terms))
+    if len(one) == len(terms):
+        return [list(terms)]
+    shared = {}
+    for term in terms.difference(one.values()):
+        shared.setdefault(term[:FIRST], []).append(term)
+    levels = [[]]
+    for start, group in shared.items():
+        group.append(one[start])
+        group.sort()
+        last = one[start] = group[0]
+        for term in group[1:]:
+            length, level = FIRST * 2, 1
             while term[:length] == last[:length]:
                 length, level = length * 2, level + 1
             while len(levels) <= level:
                 levels.append([])
             levels[level].append(term)
+            last = term
+    levels[0] = list(one.values())
     return levels
 
 
@@ -84,7 +95,7 @@ class Held:
             return
         counts, fresh = self.groups.setdefault((lang, source), (Counter(), defaultdict(Counter)))
         counts.update(terms)
-        for level, new in enumerate(fresh_terms(sorted(set(terms)))):
+        for level, new in enumerate(fresh_terms(set(terms))):
             fresh[level].update(new)
 
     def size(self) -> int:
@@ -143,7 +154,8 @@ def kept_terms(found: DataFrame, least: int = LEAST) -> DataFrame:
         if open_.isEmpty():
             return written(done, "iceberg-terms")
         open_ = _sized(open_).select(F.col("lang").alias("lang_"), F.col("term").alias("term_"))
-        candidates = found.join(open_, (found["lang"] == open_["lang_"]) & (prefix(found["term"], length) == open_["term_"]), "left_semi")
+        longer = found.filter(F.octet_length("term") >= length)     # no other term has an open prefix
+        candidates = longer.join(open_, (longer["lang"] == open_["lang_"]) & (prefix(longer["term"], length) == open_["term_"]), "left_semi")
         length, level = length * 2, level + 1
 
 
