@@ -112,6 +112,11 @@ def fit(samples: DataFrame) -> list[float]:
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once and once in the plan, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ratio_table(model: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.9g}" for v in model)), ",").cast("array<double>")
 
@@ -135,11 +140,18 @@ def segments(token: Column, model: list[float], min_token: int = MIN_TOKEN, min_
     chars = " " + ALPHABET
     joint = lambda a, b: a in SEPARATORS or b in SEPARATORS or a.islower() and b.isupper()
     table = ratio_table([0.0 if joint(a, b) else model[i * SYMBOLS + j] for i, a in enumerate(chars) for j, b in enumerate(chars)])
+    return bound(table, lambda t: bound(_best_segments(token, t, min_ratio), lambda best: _grown(token, best, min_token)))
+
+
+_SEGMENTS = "array<struct<a:int,b:int>>"
+
+
+def _best_segments(token: Column, table: Column, min_ratio: float) -> Column:
+    """The best-scoring segments of a token by the ratios of ``table``."""
     step = lambda a, b: F.element_at(table, a * SYMBOLS + b + 1)
-    spans = "array<struct<a:int,b:int>>"
     # open segment: ``since`` its start, ``sum`` its ratio so far; ``top`` its best closed ratio, ending before ``to``
     first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"),
-                     F.lit(-1e300).alias("top"), F.lit(0).alias("to"), F.array().cast(spans).alias("out"))
+                     F.lit(-1e300).alias("top"), F.lit(0).alias("to"), F.array().cast(_SEGMENTS).alias("out"))
 
     def found(acc):
         here = F.array(F.struct(acc["since"].alias("a"), acc["to"].alias("b")))
@@ -157,7 +169,11 @@ def segments(token: Column, model: list[float], min_token: int = MIN_TOKEN, min_
                         F.when(better, acc["at"] + 1).otherwise(acc["to"]).alias("to"),
                         F.when(fresh, found(acc)).otherwise(acc["out"]).alias("out"))
 
-    best = F.aggregate(symbols_of(token), first, read, found)
+    return F.aggregate(symbols_of(token), first, read, found)
+
+
+def _grown(token: Column, best: Column, min_token: int) -> Column:
+    """Segments of at least ``min_token`` characters, grown to the separators around them."""
     run = lambda t: F.char_length(F.regexp_extract(t, "^[A-Za-z0-9]*", 0))
     begun = F.transform(best, lambda s: F.struct((s["a"] + F.char_length(F.regexp_extract(
         F.substring(token, s["a"] + 1, s["b"] - s["a"]), "^[+/_.=-]*", 0))).alias("a"), s["b"].alias("b")))
@@ -171,7 +187,7 @@ def segments(token: Column, model: list[float], min_token: int = MIN_TOKEN, min_
             F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.least(tail["a"], s["a"]).alias("a"), F.greatest(tail["b"], s["b"]).alias("b"))))) \
             .otherwise(F.concat(acc, F.array(s)))
 
-    whole = F.when(F.size(best) < 2, grown).otherwise(F.aggregate(grown, F.array().cast(spans), merge))
+    whole = F.when(F.size(best) < 2, grown).otherwise(F.aggregate(grown, F.array().cast(_SEGMENTS), merge))
     return F.filter(whole, lambda s: s["b"] - s["a"] >= min_token)
 
 

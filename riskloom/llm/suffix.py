@@ -271,8 +271,9 @@ def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_
     else:
         first = (F.col("k") == F.col("k0")) & (F.col("row") == F.col("row0")) & (F.col("lo") == F.col("lo0"))
         windows = F.when(first, F.col("earlier")).otherwise(whole)
-    hits = (every.join(known, ["h", "c"]).withColumn("w", F.explode(windows))
-            .select("k", "row", F.struct((F.col("lo") + F.col("w.a")).alias("at"), (F.col("lo") + F.col("w.b") + depth).alias("end")).alias("s")))
+    # a run's spans stay one array: copies of a passage in many texts make no further rows
+    spans = F.transform(windows, lambda w: F.struct((F.col("lo") + w["a"]).alias("at"), (F.col("lo") + w["b"] + depth).alias("end")))
+    hits = every.join(known, ["h", "c"]).select("k", "row", spans.alias("s")).filter(F.size("s") > 0)
 
     def merge(acc, s):
         joins = (F.size(acc) > 0) & (s["at"] <= F.element_at(acc, -1)["end"])
@@ -280,7 +281,7 @@ def removed_spans(docs: DataFrame, keep: str = "none", depth: int = DEPTH, runs_
         grown = F.struct(last["at"].alias("at"), F.greatest(last["end"], s["end"]).alias("end"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
 
-    merged = F.aggregate(F.array_sort("s"), F.array().cast("array<struct<at:int,end:int>>"),
+    merged = F.aggregate(F.array_sort(F.flatten("s")), F.array().cast("array<struct<at:int,end:int>>"),
                          lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(merge(acc, s)))
     return written(hits.groupBy("k", "row").agg(F.collect_set("s").alias("s")).select("k", "row", merged.alias("cuts")), "cuts")
 
