@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom import config as C
 from riskloom.operators import boosting as B
 from riskloom.operators import model as MD
 
@@ -66,3 +67,33 @@ def test_uniforms_follow_places(spark):
 def test_holes_are_left_to_mllib(rows):
     holes = rows.withColumn("a", F.when(F.col("k") % 9 != 0, F.col("a")))
     assert B.table(holes, FEATURES, "y", 1.0, 32, 42) is None
+
+
+real = MD.hyper_search
+
+
+def test_search_is_whole(spark, rows):
+    """The registered search draws all trials from the whole space; ``spark.riskloom.trees`` sets only the tree count."""
+    import inspect
+
+    from riskloom.plans import q_model as Q
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Q, "input_key", lambda spark, sf_dir, *settings: repr(settings))
+        m.setattr(Q, "_splits", lambda spark, sf_dir: (rows, rows, rows, FEATURES))
+        m.setattr(Q, "_MADE", {})
+        m.setattr(Q, "scratch_path", lambda spark, name: pytest.fail("written") if seen else "unused")
+        m.setattr(MD, "hyper_search", lambda *a, **k: seen.update(inspect.signature(real).bind(*a, **k).arguments) or (_ for _ in ()).throw(StopIteration))
+        with pytest.raises(StopIteration):
+            Q.search_trials(spark, "unused")
+    assert seen.get("n_trials", C.N_TRIALS) == 50 and seen.get("space", C.SEARCH_SPACE) == C.SEARCH_SPACE
+
+
+def test_trials_are_scored_as_their_models(rows):
+    ratio = MD.class_ratio(rows, "y")
+    pipeline = MD.gbt(FEATURES, "y", PARAMS[1])
+    grown = B.grown_many(rows, FEATURES, "y", ratio, [pipeline.getStages()[-1]])[0]
+    model = B.fit_many(rows, FEATURES, "y", ratio, [pipeline])[0]
+    assert grown.nodes() == model.stages[-1].totalNumNodes
+    a, b = _scores(model, rows), {r["k"]: r["raw_score"] for r in B.with_score(rows, FEATURES, grown, ["k"]).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
